@@ -62,6 +62,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def _links(run: np.ndarray, rows: int = 256, columns: int = 8192) -> list[tuple[int, int]]:
     """Spanning forest of the verified pairs in one posting list of distinct fingerprints, compared in blocks of rows x columns."""
+    run = run.view(np.uint64)
     n = len(run)
     label = np.arange(n)
     out = []
@@ -76,7 +77,7 @@ def _links(run: np.ndarray, rows: int = 256, columns: int = 8192) -> list[tuple[
                 found, first = np.unique(label[js], return_index=True)
                 for other, k in zip(found.tolist(), first.tolist()):
                     if other != own:
-                        out.append((int(run[at + i]), int(run[js[k]])))
+                        out.append((int(run[at + i].view(np.int64)), int(run[js[k]].view(np.int64))))
                         label[label == other] = own
     return out
 

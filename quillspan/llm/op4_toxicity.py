@@ -8,6 +8,7 @@ frequency alone fills both with the same everyday text. Thresholds and weights a
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,8 +23,9 @@ from pyspark.sql import types as T
 FOLDS = 5
 #: Bound of the training sample, documents a class.
 SAMPLE = 2500
-PREFIXES = (4, 5, 6, 8)
-CARRIER = bytes(range(1, 9)) + bytes(range(14, 22))
+PREFIXES = (4, 5, 6, 7, 8)
+#: Around every word: what both dictionaries hold. zstandard looks for no match in a block's last 8 bytes, so a word must not end one.
+BEFORE, AFTER = bytes(range(1, 9)) + bytes(range(14, 22)), bytes(range(0xC0, 0xD0))
 DICTIONARY_BYTES = 8192
 _REMEMBER = 300_000
 
@@ -32,8 +34,13 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+def anchored(word: str) -> bytes:
+    """The word's bytes, each shifted by its place, so that a match between words can only stand at the same place in both."""
+    return bytes((b + 37 * i) & 255 for i, b in enumerate(word.encode("utf-8", "surrogatepass")))
+
+
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    held = zstandard.ZstdCompressionDict(content + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    held = zstandard.ZstdCompressionDict(content + BEFORE + AFTER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     how = zstandard.ZstdCompressionParameters(compression_level=3, min_match=5, strategy=zstandard.STRATEGY_GREEDY, window_log=17, write_content_size=False, write_dict_id=False, write_checksum=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
     held.precompute_compress(compression_params=how)
     return zstandard.ZstdCompressor(dict_data=held, compression_params=how)
@@ -58,7 +65,7 @@ class _Scorer:
         self.pair = _compressor(model.ordinary), _compressor(model.toxic)
 
     def distance(self, word: str) -> int:
-        data = CARRIER + b" " + word.encode("utf-8", "surrogatepass")
+        data = BEFORE + b" " + anchored(word + " ") + AFTER
         return len(self.pair[0].compress(data)) - len(self.pair[1].compress(data))
 
     def features(self, text: str | None) -> list[float]:
@@ -92,9 +99,27 @@ def _frequencies(texts: list[str]) -> Counter:
     return out
 
 
+def _families(texts: list[str], bands: int = 6, rows: int = 4) -> list[str]:
+    """One text of each family of near copies (equal in a band of minhashes of their words), so that copies don't count as evidence."""
+    rng = np.random.default_rng(11)
+    factor = rng.integers(1, 2**31, bands * rows, dtype=np.int64) * 2 + 1
+    seen: set[tuple] = set()
+    out = []
+    for t in texts:
+        words = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in set(words_of(t))), np.int64)
+        if not len(words):
+            continue
+        least = ((words[:, None] * factor) & 0xFFFFFFFF).min(axis=0).reshape(bands, rows)
+        keys = {(b, *r) for b, r in enumerate(least.tolist())}
+        if not keys & seen:
+            out.append(t)
+        seen |= keys
+    return out
+
+
 def _contrast(own: Counter, n_own: int, other: Counter, n_other: int) -> list[str]:
     """Prefixes and whole words (with a space at the end) much more frequent in own, the shortest of those that begin alike, lengthened while they lose little."""
-    floor = max(3, n_own // 80)
+    floor = max(4, n_own // 80)
     good = {g for g, n in own.items() if n >= floor and n * (n_other + 1) > 12 * (other[g] + 0.4) * (n_own + 1)}
     roots = [g for g in good if not any(g[:k] in good for k in PREFIXES if k < len(g))]
     by_root: dict[str, list[str]] = {}
@@ -108,7 +133,7 @@ def _contrast(own: Counter, n_own: int, other: Counter, n_other: int) -> list[st
 
 
 def _content(segments: list[str], size: int) -> bytes:
-    return b"".join(b" " + s.encode("utf-8", "surrogatepass") for s in segments)[-size:]
+    return b"".join(b" " + anchored(s) for s in segments)[-size:]
 
 
 def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 400, ridge: float = 1e-2) -> np.ndarray:
@@ -131,14 +156,17 @@ def train(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
     """Three fifths of each class train the dictionaries, the rest calibrates. Without both classes the score is the rate of toxic documents."""
     if not toxic or not ordinary:
         return ToxicityModel(b"", b"", (1,), (0.0, 0.0, 0.0, 3.0 if toxic else -3.0))
+    toxic, ordinary = _families(toxic) or toxic, _families(ordinary) or ordinary
     cut = lambda rows: (rows[: max(1, len(rows) * 3 // 5)], rows[len(rows) * 3 // 5 :] or rows)
     (ta, tb), (oa, ob) = cut(toxic), cut(ordinary)
     ft, fo = _frequencies(ta), _frequencies(oa)
     segments = _contrast(ft, len(ta), fo, len(oa))
+    # What a toxic segment shares with ordinary words is in the ordinary dictionary too, so that only the rest of it tells.
+    shared = sorted({s[:n] for s in segments for n in PREFIXES if n < len(s) and fo[s[:n]] * 12 * (len(ta) + 1) >= ft[s[:n]] * (len(oa) + 1)})
     known = {s[:4] for s in segments}
     everyday = [w for w, _ in sorted(fo.items(), key=lambda x: (x[1], x[0])) if len(w) >= 4 and w[:4] not in known]
     toxic_bytes = _content(segments, DICTIONARY_BYTES)
-    ordinary_bytes = _content(_contrast(fo, len(oa), ft, len(ta)) + everyday[-2000:], max(len(toxic_bytes), 64))
+    ordinary_bytes = _content(_contrast(fo, len(oa), ft, len(ta)) + everyday[-2000:] + shared, max(len(toxic_bytes), sum(len(s) + 6 for s in shared), 64))
     model = ToxicityModel(toxic_bytes, ordinary_bytes, (1,), ())
     probe = model.scorer()
     most = lambda texts: np.array([max(map(probe.distance, set(words_of(t))), default=0) for t in texts])
