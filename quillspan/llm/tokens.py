@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 
 import numpy as np
 
@@ -13,26 +14,74 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Python takes these for white space and the tokenizers do not; and the marks of special tokens. Texts with them are encoded whole.
 _WHOLE = re.compile(r"[\x1c-\x1f]|<\|")
+#: Unknown chunks are encoded so many at once.
+_JOINED = 200
 
 
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes, the same as the tokenizer's own over the whole text.
 
-    The ids of a chunk don't depend on its neighbours, so those of at most `most` chunks are kept (as bytes) between calls.
+    The ids of a chunk don't depend on its neighbours, so those of at most `most` chunks are kept (as bytes) between calls. New chunks are encoded joined,
+    and their ids told apart by the bytes that each id stands for; where these don't add up, each chunk is encoded alone.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
         self.known: dict[str, bytes] = {}
-        kind = str(self.tokenizer.normalizer)
-        self.chunks = str.split if "Lowercase" in kind else _CHUNK.findall
+        self.words = "Lowercase" in str(self.tokenizer.normalizer)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token.removesuffix("</w>") if self.words else token)
 
-    def _ids(self, parts: list[str]) -> list[bytes]:
+    def chunks(self, text: str) -> list[str]:
+        """Words (ASCII letters lowered, as the tokenizer does to all) for one that drops white space, or else words and white space."""
+        return text.encode().lower().decode().split() if self.words else _CHUNK.findall(text)
+
+    def _alone(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _size(self, part: str) -> int:
+        return len((unicodedata.normalize("NFC", part).lower() if self.words else part).encode())
+
+    def _joined(self, parts: list[str], between: str) -> list[bytes]:
+        """parts have no white space inside and may stand side by side with `between` (one token of its own, or dropped by the tokenizer)."""
+        groups = [parts[i : i + _JOINED] for i in range(0, len(parts), _JOINED)]
+        out: list[bytes] = []
+        kept = bool(between) and not self.words
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.cumsum(self.width[ids])
+            stops = np.cumsum([self._size(p) + kept for p in group]) - kept
+            at = np.searchsorted(ends, stops)
+            if not len(ends) or ends[-1] != stops[-1] or (ends[np.minimum(at, len(ends) - 1)] != stops).any():
+                out += self._alone(group)
+                continue
+            start = 0
+            for stop in (at + 1).tolist():
+                out.append(ids[start:stop].tobytes())
+                start = stop + kept
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        """Encodes unknown chunks. One with a full stop or comma after a letter is its stem and the mark, since no token spans the two."""
+        stems = {w: w[:-1] for w in new if w[-1] in ".," and w[-2:-1].isalpha()}
+        todo = sorted({*(w for w in new if w not in stems), *stems.values(), *(w[-1] for w in stems)}.difference(self.known))
+        if self.words:
+            for part, ids in zip(todo, self._joined(todo, " ")):
+                self.known[part] = ids
+        else:
+            spaced = [p for p in todo if p[0] == " " and len(p) > 1 and not p[1].isspace()]
+            bare = [p for p in todo if not p[0].isspace()]
+            rest = [p for p in todo if p[0].isspace() and not (p[0] == " " and len(p) > 1 and not p[1].isspace())]
+            for some, ids in ((spaced, self._joined(spaced, "")), (bare, self._joined(bare, "\n")), (rest, self._alone(rest))):
+                self.known.update(zip(some, ids))
+        for word, stem in stems.items():
+            self.known[word] = self.known[stem] + self.known[word[-1]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(texts), 256):
@@ -45,14 +94,13 @@ class Encoder:
         for parts in cut:
             if parts is not None:
                 new.update(parts)
-        new = new.difference(self.known)
         if len(self.known) + len(new) > self.most:
             self.known = {}
-            new = {p for parts in cut if parts is not None for p in parts}
-        todo = sorted(new)
-        self.known.update(zip(todo, self._ids(todo)))
+        new = new.difference(self.known)
+        if new:
+            self._learn(new)
         get = self.known.__getitem__
-        return [self._ids([t])[0] if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, cut)]
+        return [self._alone([t])[0] if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, cut)]
 
 
 _MADE: dict[str, Encoder] = {}
