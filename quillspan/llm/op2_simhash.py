@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import bucket_count, materialise
+from quillspan.llm.common import bucket_count, materialise, plain_text
 from quillspan.llm.components import connected_components
 
 SEED = 42
@@ -49,15 +49,22 @@ def fingerprint(text: str | None, width: int = SHINGLE, chunk: int = 65536) -> i
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """-> doc_id, fp (the fingerprint's bits as a long)."""
+def text_key() -> Column:
+    """Tells the texts of rows that share a doc_id apart; null counts as empty."""
+    return F.md5(plain_text().cast("binary"))
+
+
+def fingerprints(docs: DataFrame, *keys: Column) -> DataFrame:
+    """-> doc_id, fp (the fingerprint's bits as a long), then the string columns in keys as key0, key1 and so on."""
+    names = [f"key{i}" for i in range(len(keys))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[k.alias(n) for k, n in zip(keys, names)])
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *[f"{n} string" for n in names]]))
 
 
 def _links(run: np.ndarray, rows: int = 256, columns: int = 8192) -> list[tuple[int, int]]:
@@ -138,6 +145,15 @@ def links(distinct: DataFrame) -> DataFrame:
     return posting.mapInArrow(run, "a long, b long")
 
 
+def homes(fps: DataFrame) -> DataFrame:
+    """fps (doc_id, fp) -> fp, component_id; one row per distinct fingerprint."""
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    parts = connected_components(links(distinct.select("fp"))).select(F.col("node").alias("fp"), "component")
+    named = materialise(distinct.join(parts, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "simhash-parts")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return named.join(least, "component").select("fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """-> doc_id, fingerprint, component_id; one row per input row.
 
@@ -145,16 +161,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same component. A null doc_id never names a component unless all its ids are null. An empty table gives no rows; other columns are ignored.
     """
     fps = materialise(fingerprints(docs), "simhash")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    parts = connected_components(links(distinct.select("fp"))).select(F.col("node").alias("fp"), "component")
-    named = materialise(distinct.join(parts, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "simhash-parts")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    homes = named.join(least, "component").select("fp", "component_id")
-    return fps.join(homes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(homes(fps), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id names its component, all columns kept; of rows without an id, those in a component without any id."""
-    found = near_duplicates(docs)
-    gone = materialise(found.where("not (doc_id <=> component_id)").select("doc_id", "fingerprint").distinct(), "simhash-gone")
-    return docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows of docs whose doc_id names their component, all columns kept; of rows without an id, those in a component without any id.
+
+    Rows that share a doc_id but not the text are judged apart, each in its own component. Rows equal in doc_id and text stay or go together.
+    """
+    fps = materialise(fingerprints(docs, text_key()), "simhash")
+    gone = fps.join(homes(fps), "fp").where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone"), F.col("key0").alias("_text"))
+    gone = materialise(gone.distinct(), "simhash-gone")
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (text_key() == F.col("_text")), "left_anti")

@@ -387,6 +387,15 @@ def test_op8_colliding_digests(docs):
     _check_dedup(rows(op8_exact_dedup.exact_duplicates(docs, digest=weak)), rows(docs))
 
 
+def test_op2_keep_first(spark):
+    """One row of each component, also where rows share a doc_id or have none."""
+    near = "one two three four five six seven eight nine ten "
+    apart = "alpha beta gamma delta epsilon zeta eta theta iota kappa "
+    made = [(3, near * 20), (5, near * 20), (5, apart * 20), (None, near * 20), (9, None), (None, ""), (None, "quite another text than all of these others here")]
+    kept = op2_simhash.keep_first(spark.createDataFrame(made, "doc_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([(3, near * 20), (5, apart * 20), (9, None), (None, made[-1][1])])
+
+
 def test_op8_keep_first(edges):
     kept = rows(op8_exact_dedup.keep_first(edges))
     assert Counter(r["doc_id"] for r in kept) == Counter([1, 2, 4, 6, None, -8])
