@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as X
+from quillspan.operators.cells import ruled_fields
 from quillspan.operators.ordered import PAGE, islands
 
 # Geometry of the rules in points.
@@ -59,4 +60,5 @@ def drop_signatures(fields: DataFrame) -> DataFrame:
 
 
 def detect(chars: DataFrame, words: DataFrame, rects: DataFrame, pages: DataFrame) -> DataFrame:
-    return number_fields(drop_signatures(underscore_fields(chars, words, pages).unionByName(square_fields(rects, words, pages))))
+    fields = underscore_fields(chars, words, pages).unionByName(square_fields(rects, words, pages)).unionByName(ruled_fields(chars, words, rects, pages))
+    return number_fields(drop_signatures(fields))
