@@ -22,12 +22,13 @@ COLUMN_TOL, PITCH = 16, 1.4
 LINES_MOST, LINES_GAP, INSTRUCTION_LABEL, INSTRUCTION_BLANK = 3, 20, 200, 40
 CAPTION_BELOW, CAPTION_X = 14, 4
 COMB_X, COMB_Y, COMB_ABOVE, COMB_LEFT, COMB_LEVEL = 3, 2, 14, 200, 4.5
+LINE_LEAST, LINE_SHARE, LINE_COVER, LINE_LEFT, LINE_UNDER = 40, 0.77, 0.35, 260, 14
 LEADERS, LEADER_GAP, LEADER_DOTS, LEADER_WIDTH, LEADER_REACH = (".", "·", "․"), 8, 6, 25, 240
 OFFICE_USE = r"(?i)office\s*use|staff\s*use|internal\s*use|official\s*use|do\s*not\s*write|leave\s*blank"
 SIGNATURE = r"(?i)signatur|\bsigned\b"
 
 PRIORITY = ["R2", "R3", "R12", "R16", "R17", "R10", "R4"]
-CONFIDENCE = {"R2": 0.8, "R3": 0.6, "R12": 0.55, "R14": 0.55, "R16": 0.5, "R17": 0.5, "R10": 0.55, "R4": 0.55, "R11": 0.6}
+CONFIDENCE = {"R2": 0.8, "R3": 0.6, "R12": 0.55, "R14": 0.55, "R16": 0.5, "R17": 0.5, "R10": 0.55, "R4": 0.55, "R11": 0.6, "R5b": 0.6}
 BOX = ["x0", "top", "x1", "bottom"]
 CELL = [*PAGE, "cell"]
 
@@ -281,9 +282,45 @@ def leader_fields(chars: DataFrame, words: DataFrame, rects: DataFrame, pages: D
     return _field(g.withColumns(none), "R11", "label", "x0 + 1", "bottom + 2", "x1 - 1", "top - 9")
 
 
-def cell_fields(words: DataFrame, rects: DataFrame, pages: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
-    """Fields of rules R2, R3, R12, R16, R17, R10 and R4. thresholds: doc_id, page, threshold for gutter cuts (10 where a page has none)."""
-    f = fill_cells(written(grid_cells(rects, words), "cells"), words, rects, pages)
+def write_on_lines(words: DataFrame, rects: DataFrame, pages: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
+    """Horizontal strokes to write on, as fields 14 high above the stroke, with `top`, the stroke's place.
+
+    A stroke 40 long up to 0.77 of the page, no vertical stroke at its ends, no panel's edge, at most LINE_COVER of it under words, named by the
+    words to its left or else below it.
+    """
+    v, h = thin_rules(rects)
+    h = merge_rules(_off_panels(h, v, prose_panels(rects, words))).select(*PAGE, *BOX).join(pages.select(*PAGE, F.col("width").alias("W"), F.col("height").alias("H")), PAGE)
+    h = h.where(f"x1 - x0 BETWEEN {LINE_LEAST} AND W * {LINE_SHARE}").alias("r")
+    s, k, w = v.alias("s"), _doubles(words).alias("k"), F.struct("k.x0", "k.top", "k.x1", "k.bottom", "k.text")
+    ends = _on("r", "s") & ((F.abs(F.col("s.x0") - F.col("r.x0")) < 3) | (F.abs(F.col("s.x0") - F.col("r.x1")) < 3)) & (F.col("s.top") <= F.col("r.top") + 3) & (F.col("s.bottom") >= F.col("r.top") - 3)
+    drop = F.col("k.bottom") - F.col("r.top")
+    left = (F.abs(drop) < 9) & (F.col("k.x1") <= F.col("r.x0") + 3) & (F.col("k.x1") > F.col("r.x0") - LINE_LEFT)
+    under = (F.col("k.top") > F.col("r.top")) & (F.col("k.top") - F.col("r.top") < LINE_UNDER) & (F.col("k.x1") > F.col("r.x0") - 2) & (F.col("k.x0") < F.col("r.x1") + 2)
+    over = F.when(F.abs(drop) < 3.5, F.greatest(F.lit(0.0), F.least("k.x1", "r.x1") - F.greatest("k.x0", "r.x0")))
+    g = h.join(s, ends, "left_anti").alias("r").join(k, _on("r", "k") & (left | under | (F.abs(drop) < 3.5)))
+    g = g.groupBy(*[F.col(f"r.{c}").alias(c) for c in (*PAGE, *BOX, "W", "H")]).agg(F.sort_array(F.collect_list(F.when(left, w))).alias("lefts"), F.sort_array(F.collect_list(F.when(under, w))).alias("unders"), F.coalesce(F.sum(over), F.lit(0.0)).alias("cover"))
+    g = g.where(f"cover < {LINE_COVER} * (x1 - x0)").join(thresholds if thresholds is not None else pages.select(*PAGE, F.lit(10.0).alias("threshold")), PAGE, "left").withColumn("threshold", F.coalesce("threshold", F.lit(10.0)))
+    tail = f"array_join(slice(split({cut('lefts', 'last')}, ' '), greatest(size(split({cut('lefts', 'last')}, ' ')) - 6, 1), 7), ' ')"
+    g = g.withColumns({"full": F.expr(f"CASE WHEN size(lefts) > 0 THEN {text_of('lefts')} ELSE {text_of('unders')} END"), "label": F.expr(f"substr(trim(CASE WHEN size(lefts) > 0 THEN {tail} ELSE {cut('unders')} END), 1, 60)")})
+    g = g.where("label <> ''").where(~F.col("full").rlike(OFFICE_USE))
+    none = {c: F.lit(None).cast("long") for c in ("cell", "run", "pos", "row_t", "row_b")}
+    return _field(g.withColumns(none), "R5b", "label", "x0 + 1", "top - 1", "x1 - 1", "top - 15").withColumn("top", F.col("y0") - 1)
+
+
+def drop_stacked(cells: DataFrame, lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """Cells without those that lie between two lines to write on with one and the same label: these are two fields, no cell."""
+    n = lines.join(pages.select(*PAGE, F.col("height").alias("H")), PAGE).select(*PAGE, (F.col("H") - F.col("top")).alias("at"), F.lower(F.trim(F.regexp_replace("label", r"\s+", " "))).alias("name"))
+    c, a, b = cells.alias("c"), n.alias("a"), n.alias("b")
+    upper = c.join(a, _on("c", "a") & (F.abs(F.col("c.top") - F.col("a.at")) <= 1)).select("c.*", F.col("a.name").alias("name")).alias("c")
+    both = upper.join(b, _on("c", "b") & (F.abs(F.col("c.bottom") - F.col("b.at")) <= 1) & (F.col("c.name") == F.col("b.name")))
+    return cells.join(both.select(*[F.col(f"c.{x}").alias(x) for x in CELL]).distinct(), CELL, "left_anti")
+
+
+def cell_fields(words: DataFrame, rects: DataFrame, pages: DataFrame, thresholds: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
+    """Fields of rules R2, R3, R12, R16, R17, R10 and R4. thresholds: doc_id, page, threshold for gutter cuts (10 where a page has none); lines: those of R5b."""
+    cells = written(grid_cells(rects, words), "cells")
+    cells = cells if lines is None else written(drop_stacked(cells, lines, pages), "cells")
+    f = fill_cells(cells, words, rects, pages)
     f = f.join(thresholds, PAGE, "left").withColumn("threshold", F.coalesce("threshold", F.lit(10.0))) if thresholds is not None else f.withColumn("threshold", F.lit(10.0))
     f = written(f, "filled-cells")
     spans = lambda heads: f.alias("f").join(heads.alias("h"), _on("f", "h") & (F.col("f.row_t") == F.col("h.row_t")) & (F.col("f.row_b") == F.col("h.row_b")) & (F.col("f.run") == F.col("h.run")) & F.col("f.pos").between(F.col("h.pos"), F.col("h.pos") + SPAN_CELLS)).select(*[F.col(f"f.{c}").alias(c) for c in CELL])
@@ -304,5 +341,6 @@ FIELD = [*PAGE, "type", "x0", "y0", "x1", "y1", "label", "rule", "confidence"]
 
 
 def ruled_fields(chars: DataFrame, words: DataFrame, rects: DataFrame, pages: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
-    parts = [cell_fields(words, rects, pages, thresholds), combs(words, rects, pages), leader_fields(chars, words, rects, pages)]
+    lines = written(write_on_lines(words, rects, pages, thresholds), "lines")
+    parts = [cell_fields(words, rects, pages, thresholds, lines), lines, combs(words, rects, pages), leader_fields(chars, words, rects, pages)]
     return reduce(DataFrame.unionByName, [p.select(*FIELD) for p in parts])

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as X
-from quillspan.operators.cells import ruled_fields
+from quillspan.operators.cells import FIELD, ruled_fields
 from quillspan.operators.ordered import PAGE, islands
+from quillspan.sources.scratch import written
 
 # Geometry of the rules in points.
 RUN_TOP, RUN_GAP, RUN_WIDTH, LABEL_REACH = 1.5, 2, 12, 240
 SQUARE_LEAST, SQUARE_MOST, SQUARE_SLACK, CAPTION_GAP = 18, 32, 8, 11
+GLYPH_LINE, GLYPH_WRAP, GLYPH_WRAPS, QUESTION_GAP, GLYPH_LABEL = 2, 14, 3, 60, 90
+INK_MOST, INK_PAST, CORNER = 0.25, 2, 6
 
 
 def underscore_fields(chars: DataFrame, words: DataFrame, pages: DataFrame) -> DataFrame:
@@ -45,6 +50,69 @@ def square_fields(rects: DataFrame, words: DataFrame, pages: DataFrame) -> DataF
     return label.where(F.length("label").between(2, 60)).join(pages, PAGE).select(*PAGE, F.lit("checkbox").alias("type"), "x0", (F.col("height") - F.col("bottom")).alias("y0"), "x1", (F.col("height") - F.col("top")).alias("y1"), "label", F.lit("R18").alias("rule"), F.lit(0.5).alias("confidence"))
 
 
+def _picked(seq: str, start: str, first: str | int, rightwards: bool) -> str:
+    """The texts of the words of seq as far as each is at most CAPTION_GAP from the one before (the first: `first` from start)."""
+    gap, edge = ("w.x0 - a.at", "w.x1") if rightwards else ("a.at - w.x1", "w.x0")
+    state = "named_struct('t', {}, 'at', {}, 'most', {}, 'open', {})".format
+    zero = state("cast(array() as array<string>)", f"cast({start} as double)", f"{float(first)}D", "true")
+    keep, stop = state("array_append(a.t, w.text)", edge, f"{float(CAPTION_GAP)}D", "true"), state("a.t", "a.at", "a.most", "false")
+    return f"aggregate({seq}, {zero}, (a, w) -> CASE WHEN NOT a.open OR {gap} > a.most THEN {stop} ELSE {keep} END).t"
+
+
+def glyph_fields(chars: DataFrame, words: DataFrame, pages: DataFrame) -> DataFrame:
+    """Every check glyph is a check box. Its option is read to the right as far as the next glyph, wraps included, or else to the left;
+    a question before the line's first glyph goes before it: "question (option)", at most GLYPH_LABEL long. Without an option the label is empty."""
+    cs = chars.where(F.col("text").isin(*X.CHECK_GLYPHS)).select(*PAGE, *[F.col(c).cast("double").alias(c) for c in ("x0", "top", "x1", "bottom")])
+    c, k = cs.join(pages.select(*PAGE, F.col("width").alias("W"), F.col("height").alias("H")), PAGE).alias("c"), words.alias("k")
+    word = F.struct(*[F.col(f"k.{n}").cast("double").alias(n) for n in ("x0", "top", "x1", "bottom")], F.col("k.text").alias("text"), F.col("k.text").isin(*X.CHECK_GLYPHS).alias("glyph"))
+    level = F.abs(F.col("k.top") + F.col("k.bottom") - F.col("c.top") - F.col("c.bottom")) / 2 < GLYPH_LINE
+    below = F.col("k.top").between(F.col("c.bottom") - 1, F.col("c.bottom") + GLYPH_WRAPS * 3 * GLYPH_WRAP)
+    on = (F.col("c.doc_id") == F.col("k.doc_id")) & (F.col("c.page") == F.col("k.page")) & (level | below)
+    g = c.join(k, on, "left").groupBy(*[F.col(f"c.{n}").alias(n) for n in (*PAGE, "x0", "top", "x1", "bottom", "W", "H")]).agg(F.sort_array(F.collect_list(F.when(level, word))).alias("line"), F.sort_array(F.collect_list(F.when(below, word))).alias("near"))
+    g = g.withColumns({"hi": F.expr("coalesce(array_min(transform(filter(line, w -> w.glyph AND w.x0 > x1), w -> w.x0)), cast(W as double))"), "lo": F.expr("coalesce(array_max(transform(filter(line, w -> w.glyph AND w.x1 < x0), w -> w.x1)), 0D)"), "head": F.expr("coalesce(array_min(transform(filter(line, w -> w.glyph), w -> w.x0)), x0)"), "plain": F.expr("filter(line, w -> NOT w.glyph)")})
+    between = "filter({}, w -> w.x0 >= x1 - 1 AND w.x1 <= hi + 1)"
+    next_line = f"transform(array(filter(near, w -> w.top BETWEEN s.bottom - 1 AND s.bottom + {GLYPH_WRAP})), b -> filter(b, w -> abs(w.top - array_min(transform(b, z -> z.top))) < 2))"
+    own = between.format("l")
+    joins = f"exists(l, w -> w.x1 <= {own}[0].x0 + 1 AND {own}[0].x0 - w.x1 <= {CAPTION_GAP})"
+    wrapped = _picked(own, "x1", CAPTION_GAP, True)
+    shut = "named_struct('t', s.t, 'bottom', s.bottom, 'open', false)"
+    fold = f"CASE WHEN size({own}) = 0 OR exists(l, w -> w.glyph) OR {joins} OR size({wrapped}) = 0 THEN {shut} ELSE named_struct('t', concat(s.t, {wrapped}), 'bottom', array_max(transform(l, w -> w.bottom)), 'open', true) END"
+    more = f"aggregate(sequence(1, {GLYPH_WRAPS}), named_struct('t', right, 'bottom', bottom, 'open', true), (s, i) -> CASE WHEN NOT s.open THEN s ELSE transform({next_line}, l -> {fold})[0] END).t"
+    g = g.withColumn("right", F.expr(_picked(between.format("plain"), "x1", CAPTION_GAP, True))).withColumn("right", F.expr(more))
+    g = g.withColumns({"left": F.expr(f"reverse({_picked('reverse(filter(plain, w -> w.x1 <= x0 + 1 AND w.x1 >= lo - 1))', 'x0', CAPTION_GAP, False)})"), "ask": F.expr(f"reverse({_picked('reverse(filter(plain, w -> w.x1 <= head + 1))', 'head', QUESTION_GAP, False)})")})
+    g = g.withColumn("option", F.expr("array_join(CASE WHEN size(right) > 0 THEN right ELSE left END, ' ')")).withColumn("tail", F.expr("concat(' (', option, ')')"))
+    room = f"{GLYPH_LABEL} - length(tail)"
+    asked = "size(ask) > 0 AND lower(trim(element_at(ask, -1))) NOT IN ('yes', 'no')"
+    label = f"CASE WHEN option = '' THEN '' WHEN ({asked}) AND {room} > 0 THEN concat(rtrim(substr(array_join(ask, ' '), 1, {room})), tail) ELSE substr(option, 1, {GLYPH_LABEL}) END"
+    return g.selectExpr(*PAGE, "'checkbox' AS type", "x0", "H - bottom AS y0", "x1", "H - top AS y1", f"{label} AS label", "'R1' AS rule", "0.99D AS confidence")
+
+
+def drop_inked(fields: DataFrame, chars: DataFrame, pages: DataFrame) -> DataFrame:
+    """Other than check boxes, fields go of which over INK_MOST is printed on, by a line that goes on outside the box; a box without area counts as all ink."""
+    ink = chars.where(~F.col("text").isin(*X.CHECK_GLYPHS, "_", " ", "\xa0", "") & (F.trim("text") != "")).join(pages.select(*PAGE, F.col("height").alias("H")), PAGE)
+    ink = ink.select(*PAGE, F.bround("top").alias("row"), "x0", "x1", (F.col("H") - F.col("bottom")).alias("y0"), (F.col("H") - F.col("top")).alias("y1"))
+    f, k = fields.where("type <> 'checkbox'").select(*FIELD).distinct().alias("f"), ink.alias("k")
+    same = (F.col("f.doc_id") == F.col("k.doc_id")) & (F.col("f.page") == F.col("k.page"))
+    meets = (F.col("k.x1") > F.col("f.x0")) & (F.col("k.x0") < F.col("f.x1")) & (F.col("k.y1") > F.col("f.y0")) & (F.col("k.y0") < F.col("f.y1"))
+    part = (F.least("f.x1", "k.x1") - F.greatest("f.x0", "k.x0")) * (F.least("f.y1", "k.y1") - F.greatest("f.y0", "k.y0"))
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    hit = f.join(k, same & meets).groupBy(*[F.col(f"f.{c}").alias(c) for c in FIELD]).agg(F.sum(part).alias("inked"), F.collect_set("k.row").alias("rows"))
+    hit = hit.where((area <= 0) | (F.col("inked") > INK_MOST * area)).alias("f")
+    past = same & F.array_contains(F.col("f.rows"), F.col("k.row")) & ((F.col("k.x1") < F.col("f.x0") - INK_PAST) | (F.col("k.x0") > F.col("f.x1") + INK_PAST))
+    gone = hit.join(k, past, "left_semi").select(*FIELD)
+    on = [fields[c].eqNullSafe(gone[c]) for c in FIELD if c not in PAGE]
+    return fields.join(gone, [fields[c] == gone[c] for c in PAGE] + on, "left_anti")
+
+
+def rect_like_curves(curves: DataFrame) -> DataFrame:
+    """Curves that draw a rectangle, as page-object rects: closed, of moves, lines and arcs only, every anchor near a corner of the bounding box."""
+    near = "least(abs(p.x - x0), abs(p.x - x1)) <= slack AND least(abs(p.y - top), abs(p.y - bottom)) <= slack"
+    w, h = F.col("x1") - F.col("x0"), F.col("bottom") - F.col("top")
+    c = curves.withColumns({"width": w, "height": h, "slack": F.least(F.lit(float(CORNER)), F.least(w, h) / 2 + 0.5)}).where("width > 0 AND height > 0 AND size(path) > 0 AND path[0].op = 'm' AND element_at(path, -1).op = 'h'")
+    c = c.where(f"forall(path, p -> p.op IN ('m', 'l', 'c', 'h') AND (p.op = 'h' OR ({near})))")
+    return c.select(*PAGE, F.col("curve_ix").alias("rect_ix"), "x0", "x1", "top", "bottom", "width", "height", F.coalesce("fill", F.lit(False)).alias("fill"), F.coalesce("stroke", F.lit(False)).alias("stroke"))
+
+
 def number_fields(fields: DataFrame) -> DataFrame:
     """Adds id: p<page>_<slug>, with _2, _3 for repeats in emission order; labels lose dot leaders, an empty text label becomes 'value'."""
     label = X.strip_leaders(F.col("label"))
@@ -60,5 +128,7 @@ def drop_signatures(fields: DataFrame) -> DataFrame:
 
 
 def detect(chars: DataFrame, words: DataFrame, rects: DataFrame, pages: DataFrame) -> DataFrame:
-    fields = underscore_fields(chars, words, pages).unionByName(square_fields(rects, words, pages)).unionByName(ruled_fields(chars, words, rects, pages))
-    return number_fields(drop_signatures(fields))
+    """All rules, then R8 and R9, then ids. What the rules found is written once, since the filters read it more than once."""
+    found = [glyph_fields(chars, words, pages), underscore_fields(chars, words, pages), square_fields(rects, words, pages), ruled_fields(chars, words, rects, pages)]
+    fields = written(reduce(DataFrame.unionByName, [f.select(*FIELD) for f in found]), "fields")
+    return number_fields(drop_inked(drop_signatures(fields), chars, pages))

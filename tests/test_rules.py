@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from quillspan.functions import text as X
 from quillspan.operators import cells, detect, image
 from quillspan.sources.documents import PAGE_OBJECTS as P
 
@@ -59,6 +60,12 @@ def found(spark):
     p.word("Code:", 160, 306)
     p.doc = "leader"
     p.word("Total", 150, 700)
+    p.doc = "line"
+    p.flat(100, 250, 500), p.word("Full", 50, 492), p.word("name", 75, 492)
+    p.doc = "stacked"
+    p.flat(100, 250, 500), p.flat(100, 250, 530), p.word("Date", 70, 492), p.word("Date", 70, 522), p.word("note", 110, 503)
+    p.doc = "underlined"
+    p.flat(100, 250, 500), p.word("x" * 28, 102, 492)
     p.doc = "flood"
     for i in range(2001):
         p.flat(50 + i % 7, 250, 3 * i)
@@ -85,6 +92,9 @@ def found(spark):
         ("explain", [("R12", "multiline", "Explain why", 52.0, 152.0, 548.0, 223.0)]),
         ("comb", [("R14", "text", "Code", 202.0, 481.0, 294.0, 498.0)]),
         ("leader", [("R11", "text", "Total", 201.0, 90.0, 237.0, 109.0)]),
+        ("line", [("R5b", "text", "Full name", 101.0, 301.0, 249.0, 315.0)]),
+        ("stacked", [("R5b", "text", "Date", 101.0, 271.0, 249.0, 285.0), ("R5b", "text", "Date", 101.0, 301.0, 249.0, 315.0)]),
+        ("underlined", None),
         ("few", None),
         ("flood", None),
     ],
@@ -93,6 +103,37 @@ def test_page(found, doc, want):
     assert found.get(doc) == want
 
 
+def test_check_glyphs(spark):
+    """Two options behind a question, one of them wrapped; an option to the left; a glyph alone; a question cut to length."""
+    g = X.CHECK_GLYPHS[0]
+    line = lambda doc, y, *at: [(doc, 1, i, t, float(x), x + (8.0 if t == g else 5.0 * len(t)), float(y), y + 8.0) for i, (t, x) in enumerate(at)]
+    words = line("two", 10, ("Married?", 10), (g, 70), ("Yes", 82), (g, 150), ("No", 162)) + line("two", 22, ("never", 162))
+    words += line("left", 10, ("Agree", 10), (g, 40)) + line("alone", 10, (g, 40)) + line("long", 10, ("q" * 100, 10), (g, 520), ("Yes", 530))
+    chars = [(d, p, i, t, *box) for d, p, i, t, *box in words if t == g]
+    pages = spark.createDataFrame([(d, 1, 600.0, 800.0) for d in ("two", "left", "alone", "long")], P["pages"])
+    rows = detect.glyph_fields(spark.createDataFrame(chars, P["chars"]), spark.createDataFrame(words, P["words"]), pages).collect()
+    assert {(r["doc_id"], r["x0"]): r["label"] for r in rows} == {("two", 70.0): "Married? (Yes)", ("two", 150.0): "Married? (No never)", ("left", 40.0): "Agree (Agree)", ("alone", 40.0): "", ("long", 520.0): "q" * 84 + " (Yes)"}
+    assert {(r["y0"], r["y1"], r["x1"] - r["x0"]) for r in rows} == {(782.0, 790.0, 8.0)}
+
+
+def test_inked_fields(spark):
+    """Of boxes on print only those go whose line runs on outside; check boxes stay."""
+    chars = [("d", 1, i, "x", 10.0 + 5 * i, 15.0 + 5 * i, 10.0, 20.0) for i in range(20)]
+    pages = spark.createDataFrame([("d", 1, 200.0, 100.0)], P["pages"])
+    box = lambda kind, x0, x1, y0=80.0: ("d", 1, kind, x0, y0, x1, y0 + 10, "a", "R2", 0.5)
+    fields = [box("text", 20.0, 60.0), box("checkbox", 20.0, 60.0), box("text", 5.0, 115.0), box("text", 20.0, 60.0, 40.0)]
+    df = spark.createDataFrame(fields, "doc_id string, page int, type string, x0 double, y0 double, x1 double, y1 double, label string, rule string, confidence double")
+    got = detect.drop_inked(df, spark.createDataFrame(chars, P["chars"]), pages)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(fields[1:])
+
+
+def test_rect_like_curves(spark):
+    square = [("m", 3.0, 0.0), ("l", 14.0, 0.0), ("c", 17.0, 3.0), ("l", 17.0, 17.0), ("l", 0.0, 17.0), ("h", 0.0, 0.0)]
+    curves = [("d", 1, i, 0.0, 17.0, 0.0, 17.0, True, None, path) for i, path in enumerate([square, square[:-1], square[:2] + [("l", 8.5, 8.5), ("h", 0.0, 0.0)], [("m", 0.0, 0.0), ("v", 0.0, 0.0), ("h", 0.0, 0.0)], [], None])]
+    got = detect.rect_like_curves(spark.createDataFrame(curves, P["curves"])).collect()
+    assert [(r["rect_ix"], r["width"], r["fill"], r["stroke"]) for r in got] == [(0, 17.0, True, False)]
+
+
 def test_empty_page_objects(spark):
     empty = [spark.createDataFrame([], P[n]) for n in ("chars", "words", "rects", "pages")]
     assert cells.ruled_fields(*empty).count() == 0
