@@ -30,7 +30,7 @@ def underscore_fields(chars: DataFrame, words: DataFrame, pages: DataFrame) -> D
     near = r.join(k, on, "left").groupBy(*[F.col(f"r.{c}").alias(c) for c in (*PAGE, "run", "x0", "x1", "top", "bottom")]).agg(F.sort_array(F.collect_list(F.when(F.col("k.text").isNotNull(), F.struct(F.col("k.x0").alias("x"), F.col("k.text").alias("t"))))).alias("ws"))
     words6 = F.transform(F.slice(F.col("ws"), F.greatest(F.size("ws") - 5, F.lit(1)), 6), lambda x: x["t"])
     label = F.coalesce(F.nullif(X.strip_fill(F.regexp_replace(F.array_join(words6, " "), ":$", "")), F.lit("")), F.lit("line"))
-    return near.join(pages, PAGE).select(*PAGE, F.lit("text").alias("type"), (F.col("x0") + 1).alias("x0"), (F.col("height") - F.col("top") - 9).alias("y0"), (F.col("x1") - 1).alias("x1"), (F.col("height") - F.col("top") + 11).alias("y1"), label.alias("label"), F.lit("R5").alias("rule"), F.lit(0.65).alias("confidence"))
+    return near.join(pages, PAGE).select(*PAGE, F.lit("text").alias("type"), (F.col("x0") + 1).alias("x0"), (F.col("height") - F.col("bottom") + 1).alias("y0"), (F.col("x1") - 1).alias("x1"), (F.col("height") - F.col("top") + 11).alias("y1"), label.alias("label"), F.lit("R5").alias("rule"), F.lit(0.65).alias("confidence"))
 
 
 def square_fields(rects: DataFrame, words: DataFrame, pages: DataFrame) -> DataFrame:
