@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import text as X
 from quillspan.functions.geometry import iou, overlap_area, rect
-from quillspan.operators import matching, metrics, ordered
+from quillspan.operators import detect, matching, metrics, ordered
 from quillspan.plans import views as V
 from quillspan.plans.views import duck
+from quillspan.sources import synthetic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -279,3 +280,13 @@ shared("new_offenders", "SELECT di, doc_id FROM {v_det} WHERE x0 < 0 EXCEPT SELE
 shared("new_failures", "SELECT o_orderkey AS form, CASE o_orderstatus WHEN 'F' THEN 'crash' ELSE 'timeout' END AS reason FROM {orders} o WHERE o_orderstatus IN ('F', 'P') AND NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')")
 shared("feature_share", "SELECT rule, count(DISTINCT doc_id) AS forms FROM {v_truth} GROUP BY rule")
 shared("guards_pooled", "SELECT family, sum(CASE WHEN type = 'checkbox' THEN 1 ELSE 0 END) AS boxes, count(*) AS n, CAST(sum((x1 - x0) * (y1 - y0)) AS DOUBLE) / count(*) AS mean_area FROM {v_det} GROUP BY family")
+
+
+# Detection: one made-up form per customer, whose fields are known
+
+
+@query("detect_forms", synthetic.truth_sql("SELECT c_custkey AS id FROM customer"))
+def detect_forms(s, d):
+    """All rules over the page objects of every form; the oracle tells where the fields were drawn."""
+    made = synthetic.forms_of(V.table(s, d, "customer").select(F.col("c_custkey").alias("id")))
+    return detect.detect(made["chars"], made["words"], made["rects"], made["pages"]).select("doc_id", "type", "rule", "label", "x0", "y0", "x1", "y1")

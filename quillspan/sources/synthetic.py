@@ -39,12 +39,20 @@ def templates() -> dict[str, list[tuple]]:
     }
 
 
+PICK = "(id * 5 + slot * (id % 6 + 1) + CAST(floor(id / 7) AS BIGINT)) % 7"
+
+
 def forms(spark: SparkSession, count: int, seed: int = 0) -> dict[str, DataFrame]:
-    """pages, words, chars, rects and truth of forms `seed` to `seed + count - 1`, each of SLOTS constructs that a hash of form and slot picks."""
+    """Forms `seed` to `seed + count - 1`."""
+    return forms_of(spark.range(seed, seed + count))
+
+
+def forms_of(ids: DataFrame) -> dict[str, DataFrame]:
+    """pages, words, chars, rects and truth of one form per row of ids (id, not negative), each of SLOTS constructs that PICK names."""
     rows = [(i, name, *t) for i, (name, ts) in enumerate(templates().items()) for t in ts]
-    parts = spark.createDataFrame([(i, n, w, t, *map(float, box)) for i, n, w, t, *box in rows], "pick int, construct string, what string, text string, x0 double, x1 double, top double, bottom double")
-    chosen = spark.range(seed, seed + count).select(F.format_string("form-%06d", "id").alias("doc_id"), "id", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot"))
-    chosen = chosen.withColumn("pick", F.pmod(F.xxhash64("id", "slot"), F.lit(len(templates()))).cast("int"))
+    parts = ids.sparkSession.createDataFrame([(i, n, w, t, *map(float, box)) for i, n, w, t, *box in rows], "pick int, construct string, what string, text string, x0 double, x1 double, top double, bottom double")
+    chosen = ids.select(F.format_string("form-%06d", F.col("id").cast("long")).alias("doc_id"), F.col("id").cast("long").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot"))
+    chosen = chosen.withColumn("pick", F.expr(PICK).cast("int"))
     dy = F.col("slot") * PITCH + TOP
     # the templates are a fixed table of about a hundred rows
     placed = chosen.join(F.broadcast(parts), "pick").select("doc_id", F.lit(1).alias("page"), "slot", "construct", "what", "text", (F.col("x0") + 50).alias("x0"), (F.col("x1") + 50).alias("x1"), (F.col("top") + dy).alias("top"), (F.col("bottom") + dy).alias("bottom"))
@@ -58,3 +66,11 @@ def forms(spark: SparkSession, count: int, seed: int = 0) -> dict[str, DataFrame
         "rects": placed.where("what = 'rect'").select("doc_id", "page", number("rect_ix"), *box, (F.col("x1") - F.col("x0")).alias("width"), (F.col("bottom") - F.col("top")).alias("height"), F.lit(True).alias("fill"), F.lit(False).alias("stroke")),
         "truth": truth.select("doc_id", "page", F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY top, x0) AS ti"), F.col("w")[1].alias("type"), "x0", (F.lit(HEIGHT) - F.col("bottom")).alias("y0"), "x1", (F.lit(HEIGHT) - F.col("top")).alias("y1"), F.col("text").alias("label"), F.col("w")[2].alias("rule")),
     }
+
+
+def truth_sql(ids: str) -> str:
+    """The truth of the forms whose ids a query gives, in SQL."""
+    rows = [(i, text, what.split(":")[1], what.split(":")[2], *box) for i, ts in enumerate(templates().values()) for what, text, *box in ts if what.startswith("truth:")]
+    values = ", ".join(f"({i}, '{text}', '{kind}', '{rule}', {float(x0)}::DOUBLE, {float(x1)}::DOUBLE, {float(top)}::DOUBLE, {float(bottom)}::DOUBLE)" for i, text, kind, rule, x0, x1, top, bottom in rows)
+    return f"""WITH s AS (SELECT id, slot, {PICK} AS pick FROM ({ids}) i, (SELECT unnest(range({SLOTS})) AS slot) n), t(pick, label, type, rule, x0, x1, top, bottom) AS (VALUES {values})
+      SELECT printf('form-%06d', id) AS doc_id, type, rule, label, x0 + 50 AS x0, {HEIGHT} - bottom - slot * {PITCH} - {TOP} AS y0, x1 + 50 AS x1, {HEIGHT} - top - slot * {PITCH} - {TOP} AS y1 FROM s JOIN t USING (pick)"""

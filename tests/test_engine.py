@@ -150,12 +150,12 @@ def test_entry_and_names():
     assert "entry" in dir(entry) and inspect.isfunction(entry.entry)
 
 
-@pytest.mark.parametrize("name", ["match_greedy", "score_rollup", "grid_cells", "gap_threshold", "gate_families", "fetch_plan"])
+@pytest.mark.parametrize("name", ["match_greedy", "score_rollup", "grid_cells", "gap_threshold", "gate_families", "fetch_plan", "detect_forms"])
 def test_against_oracle(spark, name):
     import duckdb
 
     d, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in "documents pages orders lineitem events part".split():
+    for t in "documents pages orders lineitem events part customer".split():
         con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
     df = catalog.QUERIES[name](spark, d)
     cur = con.execute(catalog.ORACLE[name])
