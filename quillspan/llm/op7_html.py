@@ -1,7 +1,7 @@
 """Main text of pages by wrapper induction.
 
-Each host has an exemplar, its page of least hash. Every page of the host is aligned with it by simple tree matching; over all of them it is counted
-how often a text node of the exemplar is met, and met with the same text. Nodes that stay constant are the host's template and are dropped from its pages;
+Each host has an exemplar, its page of least hash. Every page of the host is aligned with it by simple tree matching; over its distinct pages it is counted
+how often a text node of the exemplar is met, and met with the same text. Copies of a page count once, so they never make its text look constant. Nodes that stay constant are the host's template and are dropped from its pages;
 varying slots are content, as far as they lie in the article and outside the parts that elements and their names mark as menus, adverts and the like.
 """
 
@@ -18,10 +18,12 @@ from pyspark.sql import types as T
 from quillspan.llm.common import materialise
 from quillspan.llm.dom import Node, blocks, match_trees, parse, prepare
 
-#: Pages that must meet a node, the share of the host's pages that must, and the share of those with the same text.
+#: Distinct pages that must meet a node, the share of the host's distinct pages that must, and the share of those with the same text.
 MIN_PAGES, MIN_SHARE, CONSTANT = 5, 0.5, 0.9
 #: Exemplars up to so many bytes in all are sent to each worker once; beyond that they are joined to the pages by host.
 SENT_BYTES = 24 << 20
+#: Up to so many pages that have copies are sent to each worker with their numbers of copies; beyond that copies are dropped by a shuffle before pages are counted.
+SENT_COPIES = 100_000
 
 
 class Exemplar:
@@ -54,19 +56,23 @@ def _host() -> F.Column:
 def extract_text(pages: DataFrame) -> DataFrame:
     """-> page_id, url, text, n_chars; one row per input row.
 
-    A null html is empty, and an empty page has an empty text. Pages without a host are one group. Hosts of fewer than five pages have no template. Repeated rows
-    give repeated results; an empty table gives no rows; other columns are ignored. The shares are counted over all pages, summed in each task before they are
-    shuffled, so a host of any size is never gathered; pages themselves are shuffled only if exemplars exceed 24 MB.
+    A null html is empty, and an empty page has an empty text. Pages without a host are one group. Hosts of fewer than five distinct pages have no template. Repeated rows
+    give repeated results; an empty table gives no rows; other columns are ignored. The shares are counted over distinct pages, summed in each task before they are
+    shuffled, so a host of any size is never gathered: each of n copies of a page on a host counts 1/n. Pages themselves are shuffled only if exemplars exceed 24 MB
+    or over 100,000 pages have copies.
     """
     spark = pages.sparkSession
     base = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), _host().alias("host"))
-    order = F.struct(F.xxhash64("page_id", "url").alias("h"), F.col("page_id").cast("string").alias("p"))
-    least = base.groupBy("host").agg(F.min(order).alias("least"), F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES)
-    least = materialise(least.select("host", "least.h", "least.p", "pages"), "exemplar-ids")
-    picked = base.withColumn("h", F.xxhash64("page_id", "url")).withColumn("p", F.col("page_id").cast("string"))
+    hashed = base.withColumn("h", F.unhex(F.md5(F.col("html").cast("binary"))))
+    distinct = materialise(hashed.groupBy("host", "h").agg(F.count("*").alias("copies")), "html-pages")
+    least = materialise(distinct.groupBy("host").agg(F.min("h").alias("h"), F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES), "exemplar-ids")
     chosen = F.broadcast(least) if least.count() <= 100_000 else least
-    on = (picked["host"] == chosen["host"]) & (picked["h"] == chosen["h"]) & picked["p"].eqNullSafe(chosen["p"])
-    exemplars = materialise(picked.join(chosen, on).groupBy(picked["host"].alias("host"), chosen["pages"].alias("pages")).agg(F.min("html").alias("exemplar")), "exemplars")
+    exemplars = materialise(hashed.join(chosen, ["host", "h"]).groupBy("host", "pages").agg(F.min("html").alias("exemplar")), "exemplars")
+    copied = distinct.where("copies > 1")
+    if copied.count() <= SENT_COPIES:
+        counted = hashed.join(F.broadcast(copied), ["host", "h"], "left").select("host", "html", (F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("weight"))
+    else:
+        counted = hashed.groupBy("host", "h").agg(F.min("html").alias("html")).select("host", "html", F.lit(1.0).alias("weight"))
     hosts, size = exemplars.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("exemplar")), F.lit(0))).first()
     small = hosts <= 100_000 and size <= SENT_BYTES
     sent = {r["host"]: r["exemplar"] for r in exemplars.select("host", "exemplar").toLocalIterator()} if small else {}
@@ -78,7 +84,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
         met: Counter = Counter()
         for b in batches:
             texts = b.column("exemplar").to_pylist() if "exemplar" in b.schema.names else None
-            for i, (host, page) in enumerate(zip(b.column("host").to_pylist(), b.column("html").to_pylist())):
+            for i, (host, page, weight) in enumerate(zip(*(b.column(c).to_pylist() for c in ("host", "html", "weight")))):
                 ex = texts[i] if texts else shared.value.get(host)
                 if ex is None:
                     continue
@@ -89,15 +95,17 @@ def extract_text(pages: DataFrame) -> DataFrame:
                 root = parse(page)
                 prepare(root)
                 for node, same, _ in known[host].pairs(root):
-                    met[host, node, same] += 1
+                    met[host, node, same] += weight
             if len(met) > 200_000:
                 yield _counted(met)
                 met.clear()
         if met:
             yield _counted(met)
 
-    stats = joined(base.select("host", "html"), exemplars.select("host", "exemplar")).mapInArrow(count, "host string, node int, same boolean, n long")
-    sums = stats.groupBy("host", "node").agg(F.sum("n").alias("met"), F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)).alias("same"))
+    stats = joined(counted, exemplars.select("host", "exemplar")).mapInArrow(count, "host string, node int, same boolean, n double")
+    # Sums of 1/n over all n copies are whole numbers but for rounding.
+    whole = lambda n: F.round(F.sum(n)).cast("long")
+    sums = stats.groupBy("host", "node").agg(whole(F.col("n")).alias("met"), whole(F.when(F.col("same"), F.col("n")).otherwise(0.0)).alias("same"))
     fixed = sums.join(exemplars.select("host", "pages"), "host").where((F.col("met") >= MIN_PAGES) & (F.col("met") >= MIN_SHARE * F.col("pages")) & (F.col("same") >= CONSTANT * F.col("met")))
     wrappers = materialise(fixed.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("constant")), "wrappers")
     constant = {r["host"]: frozenset(r["constant"]) for r in wrappers.toLocalIterator()} if small else {}
@@ -128,4 +136,4 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
 def _counted(met: Counter) -> pa.RecordBatch:
     host, node, same = zip(*met)
-    return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(node, pa.int32()), pa.array(same, pa.bool_()), pa.array(list(met.values()), pa.int64())], ["host", "node", "same", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(node, pa.int32()), pa.array(same, pa.bool_()), pa.array(list(met.values()), pa.float64())], ["host", "node", "same", "n"])

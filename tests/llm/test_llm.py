@@ -348,6 +348,21 @@ def test_op7_template_is_induced(spark):
     assert found[100].startswith("Always here") and found[101] == found[102] == "" and len(found) == 15
 
 
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_op7_copies_count_once(spark, monkeypatch, sent):
+    monkeypatch.setattr(op7_html, "SENT_COPIES", sent, raising=False)
+    page = "<html><body><div><span>Always here</span></div><div><p>Slot {i} text</p><p>More {i}</p></div><div>Constant foot</div></body></html>"
+    data = [(0, "http://same.example/", page.format(i=0))] * 7 + [(i, f"http://mirror.example/{i}", page.format(i=1)) for i in range(6)]
+    data += [(i, f"http://most.example/{i}", page.format(i=i if i < 6 else 9)) for i in range(90)]
+    found = rows(op7_html.extract_text(spark.createDataFrame(data, "page_id long, url string, html string")))
+    assert len(found) == len(data)
+    for r in found:
+        i = r["page_id"]
+        want = f"Slot {i if i < 6 else 9} text\n\nMore {i if i < 6 else 9}" if "most" in r["url"] else None
+        n = 0 if "same" in r["url"] else 1
+        assert r["text"] == (want or f"Always here\n\nSlot {n} text\n\nMore {n}\n\nConstant foot") and r["n_chars"] == len(r["text"])
+
+
 def test_op7_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     import html
