@@ -363,6 +363,16 @@ def test_op7_copies_count_once(spark, monkeypatch, sent):
         assert r["text"] == (want or f"Always here\n\nSlot {n} text\n\nMore {n}\n\nConstant foot") and r["n_chars"] == len(r["text"])
 
 
+@pytest.mark.parametrize("sent", [24 << 20, 0])
+def test_op7_layouts(spark, monkeypatch, sent):
+    monkeypatch.setattr(op7_html, "SENT_BYTES", sent)
+    kinds = ["<div><span>Always here</span></div><div><p>Slot {i} text</p></div>", "<section><p>Slot {i} text</p></section><center>Other foot</center>", "<table><tr><td>Old head<td>Slot {i} text</table>"]
+    data = [(i, f"http://h.example/{i}", kinds[i % 3].format(i=i)) for i in range(30)]
+    data += [(100 + i, f"http://blank.example/{i}", kinds[0].format(i=100 + i) if i < 9 else ["", None, " "][i % 3]) for i in range(18)]
+    found = {r["page_id"]: r["text"] for r in rows(op7_html.extract_text(spark.createDataFrame(data, "page_id long, url string, html string")))}
+    assert found == {i: f"Slot {i} text" if i < 109 else "" for i, *_ in data}
+
+
 def test_op7_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     import html
