@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|[^<]+|<", re.S)
@@ -187,40 +188,127 @@ _MARKS = re.compile(
     r"|social|share|sharing|related|recommend\w*|comments?|disqus|respond|replies|pagination|pager|toolbar|widgets?|skip|login|signup|search|complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
+#: Words of a class that tell what else is on the page, and names of parts that are never taken for a wrapper of the main text, however long they are.
+_STATES = re.compile(r"(?:^|(?<=\s))(?:has|no|not|with|without)[_-]\S*", re.I)
+_NEVER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|breadcrumbs?|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|subscription|comments?|disqus|respond|replies|pagination|pager|login|signup)(?:$|[\s_-])", re.I)
 _HEADERS = re.compile(r"^(?:(?:site|page|top|main)[_-]?)?header$", re.I)
-_ROOTS = ("article", "main", "body", "html", "#root")
+#: Elements that are read where a page has no other text: some pages lie in one form.
+_AT_LAST = frozenset("form aside header dialog label".split())
+#: Share of the text outside links that article and main elements must hold, or else the whole page is read.
+MAIN_SHARE = 0.75
 
 
-def excluded(node: Node, inside: bool) -> bool:
-    """inside: below an article or main element, where a header belongs to the text."""
-    if node.tag in NOT_TEXT or (node.tag == "header" and not inside):
-        return True
+def _names(node: Node) -> list[str]:
+    return [_STATES.sub("", node.attributes[k]) for k in ("class", "id", "role") if k in node.attributes]
+
+
+def _marked(node: Node, inside: bool) -> bool:
     if not node.attributes or node.tag in ("body", "html", "main"):
         return False
-    names = [node.attributes[k] for k in ("class", "id", "role") if k in node.attributes]
+    names = _names(node)
     return any(_MARKS.search(v) for v in names) or (not inside and any(_HEADERS.match(w) for v in names for w in v.split()))
 
 
-def content_roots(root: Node) -> list[Node]:
-    """The outermost article elements outside excluded parts, or else main elements, or else the whole page."""
-    found: dict[str, list[Node]] = {"article": [], "main": []}
+def _unread(node: Node, inside: bool) -> bool:
+    return node.tag in NOT_TEXT or (node.tag == "header" and not inside)
+
+
+def excluded(node: Node, inside: bool) -> bool:
+    """inside: below an article or main element, where a header belongs to the text."""
+    return _unread(node, inside) or _marked(node, inside)
 
-    def walk(node: Node, inside: bool) -> None:
+
+def _role(node: Node) -> str:
+    return "main" if node.attributes.get("role") == "main" else node.tag
+
+
+def content(root: Node, template: set[int]) -> tuple[list[Node], set[int]]:
+    """The elements to read, and the ids of those below them that their names don't exclude.
+
+    A main element is read whatever its wrappers are called. Where no article or main lies outside marked parts, a marked element is a wrapper if it has no less text
+    than lies outside all marked ones. The outermost article and main elements are read if they hold most of the text, or else the whole page. Text in links and in
+    template doesn't count.
+    """
+    found: list[tuple[Node, int, bool]] = [(root, -1, False)]
+    marked: list[int] = []
+    amount, main = [0], [False]
+    stack = [(root, 0, False, False)]
+    while stack:
+        node, at, inside, link = stack.pop()
         for c in node.children:
-            if c.tag == "#text" or excluded(c, inside):
+            if id(c) in template:
                 continue
-            role = "main" if c.attributes.get("role") == "main" else c.tag
-            if role in found:
-                found[role].append(c)
-            if role != "article":
-                walk(c, inside or role == "main")
-
-    walk(root, False)
-    return found["article"] or found["main"] or [root]
+            if c.tag == "#text":
+                amount[at] += 0 if link else len("".join(c.text.split()))
+            elif not _unread(c, inside):
+                i = len(found)
+                found.append((c, at, inside))
+                amount.append(0)
+                main.append(_role(c) == "main")
+                if _marked(c, inside):
+                    marked.append(i)
+                stack.append((c, i, inside or _role(c) in ("article", "main"), link or c.tag == "a"))
+    own = amount[:]
+    for i in range(len(found) - 1, 0, -1):
+        amount[found[i][1]] += amount[i]
+        main[found[i][1]] |= main[i]
+
+    def outermost(kept: set[int]) -> tuple[list[int], int]:
+        """Article and main elements outside marked parts, and the text outside those."""
+        gone, below, roots, text = [False] * len(found), [False] * len(found), [], 0
+        for i in range(len(found)):
+            node, up, _ = found[i]
+            gone[i] = (up >= 0 and gone[up]) or (i in names and i not in kept)
+            below[i] = up >= 0 and (below[up] or (_role(found[up][0]) in ("article", "main")))
+            if not gone[i]:
+                text += own[i]
+                if not below[i] and _role(node) in ("article", "main"):
+                    roots.append(i)
+        return roots, text
+
+    def held(kept: set[int], roots: list[int]) -> int:
+        top, text = set(roots), 0
+        gone, inner = [False] * len(found), [False] * len(found)
+        for i in range(len(found)):
+            up = found[i][1]
+            gone[i] = (up >= 0 and gone[up]) or (i in names and i not in kept)
+            inner[i] = i in top or (up >= 0 and inner[up])
+            text += own[i] if inner[i] and not gone[i] else 0
+        return text
+
+    names = set(marked)
+    kept = {i for i in marked if main[i]}
+    roots, text = outermost(kept)
+    if not roots:
+        kept |= {i for i in marked if amount[i] and amount[i] >= text and not any(_NEVER.search(v) for v in _names(found[i][0]))}
+        roots, text = outermost(kept)
+    whole = not roots or held(kept, roots) < MAIN_SHARE * text
+    # The stack above goes through siblings from the last; reading goes in page order.
+    order = {id(found[i][0]) for i in roots}
+    return [root] if whole else _in_order(root, order), {id(found[i][0]) for i in kept}
+
+
+def _in_order(root: Node, wanted: set[int]) -> list[Node]:
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if id(node) in wanted:
+            out.append(node)
+        else:
+            stack.extend(reversed(node.children))
+    return out
 
 
 def blocks(root: Node, template: set[int]) -> list[str]:
-    """Texts of the content's blocks in page order, without excluded parts and the nodes whose id() is in template."""
+    """Texts of the content's blocks in page order, without excluded parts and the nodes whose id() is in template.
+
+    Where nothing is left, parts that only their names exclude are read, and where there are none, forms, asides and headers.
+    """
+    roots, kept = content(root, template)
+    return _read(roots, template, lambda c, inside: id(c) not in kept and _marked(c, inside) or _unread(c, inside)) or _read([root], template, _unread) or _read([root], template, lambda c, _: c.tag in NOT_TEXT and c.tag not in _AT_LAST)
+
+
+def _read(roots: list[Node], template: set[int], skip: Callable[[Node, bool], bool]) -> list[str]:
     out: list[str] = []
     parts: list[str] = []
 
@@ -230,23 +318,24 @@ def blocks(root: Node, template: set[int]) -> list[str]:
         if line:
             out.append(line)
 
-    def walk(node: Node, inside: bool) -> None:
-        for c in node.children:
-            if id(c) in template:
-                continue
-            if c.tag == "#text":
-                parts.append(html.unescape(c.text))
-            elif c.tag in ("br", "wbr"):
-                parts.append(" " if c.tag == "br" else "")
-            elif not excluded(c, inside):
-                if c.tag in BLOCK:
-                    flush()
-                    walk(c, inside or c.tag in ("article", "main"))
+    for r in roots:
+        stack = [(iter(r.children), _role(r) in ("article", "main"), True)]
+        while stack:
+            rest, inside, block = stack[-1]
+            for c in rest:
+                if id(c) in template:
+                    continue
+                if c.tag == "#text":
+                    parts.append(html.unescape(c.text))
+                elif c.tag in ("br", "wbr"):
+                    parts.append(" " if c.tag == "br" else "")
+                elif not skip(c, inside):
+                    if c.tag in BLOCK:
+                        flush()
+                    stack.append((iter(c.children), inside or _role(c) in ("article", "main"), c.tag in BLOCK))
+                    break
+            else:
+                stack.pop()
+                if block:
                     flush()
-                else:
-                    walk(c, inside)
-
-    for r in content_roots(root):
-        walk(r, r.tag in ("article", "main"))
-        flush()
     return out

@@ -348,6 +348,18 @@ def test_op7_template_is_induced(spark):
     assert found[100].startswith("Always here") and found[101] == found[102] == "" and len(found) == 15
 
 
+def test_op7_main_text_is_kept():
+    long = "The main text of this page is this long line of words."
+    teaser, article = "<article>Teaser</article>", f"<article><p>{long}</p></article>"
+    for page in (f"<main><p>{long}</p>{teaser}</main>", f"<div><p>{long}</p></div>{teaser}", f"<main><p>{long}</p></main>{teaser}"):
+        assert op7_html.main_text(f"<body>{page}</body>") == f"{long}\n\nTeaser"
+    for name in ("has-sidebar", "no-sidebar", "page share", "left-sidebar content", "search", "widget", "notice"):
+        for inner in (article, f"<p>{long}</p>", f"<main><p>{long}</p></main>"):
+            assert op7_html.main_text(f"<body><div class='{name}'>{inner}<div class='comments'><article>Reader {long}</article></div></div><div class='ad'>{long} {long}</div></body>") == long
+    assert op7_html.main_text(f"<div class='ads'>{long}</div>") == op7_html.main_text(f"<form>{long}</form>") == long
+    assert op7_html.main_text(f"<div class='sidebar'>{long}</div>{article}") == op7_html.main_text(f"<nav>{long}</nav><p>{long}</p><div class='menu'><a>{long} {long}</a></div>") == long
+
+
 @pytest.mark.parametrize("sent", [100_000, 0])
 def test_op7_copies_count_once(spark, monkeypatch, sent):
     monkeypatch.setattr(op7_html, "SENT_COPIES", sent, raising=False)
