@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -15,7 +18,6 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 #: Start tags that end an open paragraph, and those that end an open element of the same kind.
 _ENDS_P = BLOCK - {"html", "head", "body"}
 _SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "option": ("select",)}
-DEEPEST = 200
 
 
 @dataclass(slots=True)
@@ -29,9 +31,16 @@ class Node:
 
 
 def parse(page: str) -> Node:
-    """Never fails: unknown end tags are skipped, open elements end with the page, elements nested deeper than DEEPEST join the deepest one."""
+    """Never fails: unknown end tags are skipped, open elements end with the page, elements nest as deep as they come."""
     root = Node("#root")
     stack = [root]
+    # Numbers of open elements by tag, so that a deep stack isn't searched for one that isn't open.
+    opened: Counter[str] = Counter()
+
+    def close(i: int) -> None:
+        opened.subtract(x.tag for x in stack[i:])
+        del stack[i:]
+
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.match(page, at)
@@ -44,24 +53,24 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m.group(1):
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in ("td", "th", "table", "article", "body") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "article", "body", "html", "main", "div", "section"):
                     break
             continue
-        if tag in _ENDS_P:
+        if tag in _ENDS_P and opened["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in BLOCK:
                     break
-        if tag in _SAME:
+        if tag in _SAME and (opened[tag] or (tag in ("dt", "dd", "td", "th") and (opened["dt"] or opened["dd"] or opened["td"] or opened["th"]))):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag or (tag in ("dt", "dd") and stack[i].tag in ("dt", "dd")) or (tag in ("td", "th") and stack[i].tag in ("td", "th")):
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in _SAME[tag]:
                     break
@@ -75,31 +84,31 @@ def parse(page: str) -> Node:
             node.text = page[at : end.start() if end else n]
             at = end.end() if end else n
             continue
-        if len(stack) < DEEPEST:
-            stack.append(node)
+        stack.append(node)
+        opened[tag] += 1
     return root
 
 
 def prepare(root: Node) -> list[Node]:
     """Drops blank text nodes, sets shapes (equal for subtrees of the same tags) and sizes; all nodes in page order."""
     order: list[Node] = []
-
-    def walk(node: Node) -> None:
+    stack = [root]
+    while stack:
+        node = stack.pop()
         order.append(node)
         node.children = [c for c in node.children if c.tag != "#text" or not c.text.isspace()]
-        for c in node.children:
-            walk(c)
-        node.size = 1 + sum(c.size for c in node.children)
-        node.shape = hash((node.tag, *(c.shape for c in node.children)))
-
-    walk(root)
+        stack.extend(reversed(node.children))
+    for node in reversed(order):
+        node.size = 1 + sum([c.size for c in node.children])
+        node.shape = hash((node.tag, *[c.shape for c in node.children]))
     return order
 
 
 def match_trees(a: Node, b: Node, budget: int = 250_000) -> list[tuple[Node, Node]]:
     """Simple tree matching: the largest set of pairs of nodes of one tag that keeps parents and order.
 
-    Children alike at the front and the back are paired at once. Where two lists would need more than `budget` cells, they are aligned greedily in order.
+    Children alike at the front and the back are paired at once. Where two lists need more than `budget` cells, rows are kept in place of the table and the lists
+    are halved until the table fits (Hirschberg): as large a set, in linear memory and twice the time. Scores depend on shapes alone and are kept by shapes.
     """
     memo: dict[tuple[int, int], int] = {}
 
@@ -112,6 +121,9 @@ def match_trees(a: Node, b: Node, budget: int = 250_000) -> list[tuple[Node, Nod
             j += 1
         return i, m - j, n - j
 
+    def known(x: Node, y: Node) -> int:
+        return x.size if x.shape == y.shape else memo[x.shape, y.shape] if x.tag == y.tag else 0
+
     def table(p: list[Node], q: list[Node]) -> list[list[int]]:
         t = [[0] * (len(q) + 1)]
         for x in p:
@@ -119,65 +131,80 @@ def match_trees(a: Node, b: Node, budget: int = 250_000) -> list[tuple[Node, Nod
             for j, y in enumerate(q):
                 best = above[j + 1] if above[j + 1] >= row[j] else row[j]
                 if x.tag == y.tag:
-                    w = above[j] + score(x, y)
+                    w = above[j] + (x.size if x.shape == y.shape else memo[x.shape, y.shape])
                     if w > best:
                         best = w
                 row.append(best)
             t.append(row)
         return t
 
-    def greedy(p: list[Node], q: list[Node]) -> list[tuple[Node, Node]]:
-        out, j = [], 0
+    def last_row(p: list[Node], q: list[Node]) -> np.ndarray:
+        """The last row of table(p, q)."""
+        kinds = {y.shape: y for y in q}
+        place = {k: i for i, k in enumerate(kinds)}
+        codes = np.array([place[y.shape] for y in q])
+        t = np.zeros(len(q) + 1, np.int64)
+        rows: dict[int, np.ndarray] = {}
         for x in p:
-            for k in range(j, min(len(q), j + 32)):
-                if q[k].tag == x.tag:
-                    out.append((x, q[k]))
-                    j = k + 1
-                    break
-        return out
-
-    def score(x: Node, y: Node) -> int:
-        if x.tag != y.tag:
-            return 0
-        if x.shape == y.shape:
-            return x.size
-        key = (id(x), id(y))
-        if key not in memo:
+            if x.shape not in rows:
+                if len(rows) >= 64:
+                    rows.clear()
+                rows[x.shape] = np.array([known(x, y) for y in kinds.values()], np.int64)[codes]
+            t[1:] = np.maximum.accumulate(np.maximum(t[1:], t[:-1] + rows[x.shape]))
+        return t
+
+    def align(p: list[Node], q: list[Node]) -> list[tuple[Node, Node]]:
+        if not p or not q:
+            return []
+        if len(p) * len(q) > budget:
+            if len(p) == 1:
+                y = max(q, key=lambda y: known(p[0], y))
+                return [(p[0], y)] if known(p[0], y) else []
+            half = len(p) // 2
+            cut = int(np.argmax(last_row(p[:half], q) + last_row(p[half:][::-1], q[::-1])[::-1]))
+            return align(p[:half], q[:cut]) + align(p[half:], q[cut:])
+        t, r, c, found = table(p, q), len(p), len(q), []
+        while r and c:
+            if t[r][c] == t[r - 1][c]:
+                r -= 1
+            elif t[r][c] == t[r][c - 1]:
+                c -= 1
+            else:
+                r, c = r - 1, c - 1
+                found.append((p[r], q[c]))
+        return found[::-1]
+
+    def score(a: Node, b: Node) -> None:
+        """Fills memo for a, b and all pairs below them that may be asked for; a pair waits on the stack until those below it are known."""
+        stack = [(a, b)]
+        while stack:
+            x, y = stack[-1]
+            if x.shape == y.shape or (x.shape, y.shape) in memo:
+                stack.pop()
+                continue
             i, m, n = middle(x, y)
             p, q = x.children[i:m], y.children[i:n]
-            same = sum(c.size for c in x.children[:i]) + sum(c.size for c in x.children[m:])
-            memo[key] = 1 + same + (table(p, q)[-1][-1] if len(p) * len(q) <= budget else sum(score(u, v) for u, v in greedy(p, q)))
-        return memo[key]
+            if p and q:
+                right = {v.shape: v for v in q}
+                lacking = [(u, v) for u in {u.shape: u for u in p}.values() for v in right.values() if u.tag == v.tag and u.shape != v.shape and (u.shape, v.shape) not in memo]
+                if lacking:
+                    stack.extend(lacking)
+                    continue
+            stack.pop()
+            same = sum([c.size for c in x.children[:i]]) + sum([c.size for c in x.children[m:]])
+            memo[x.shape, y.shape] = 1 + same + ((table(p, q)[-1][-1] if len(p) * len(q) <= budget else int(last_row(p, q)[-1])) if p and q else 0)
 
+    if a.tag != b.tag:
+        return []
+    score(a, b)
     pairs: list[tuple[Node, Node]] = []
-
-    def trace(x: Node, y: Node) -> None:
+    stack = [(a, b)]
+    while stack:
+        x, y = stack.pop()
         pairs.append((x, y))
         i, m, n = middle(x, y)
-        for u, v in zip(x.children[:i], y.children[:i]):
-            trace(u, v)
-        p, q = x.children[i:m], y.children[i:n]
-        if p and q:
-            if len(p) * len(q) > budget:
-                for u, v in greedy(p, q):
-                    trace(u, v)
-            else:
-                t, r, c, found = table(p, q), len(p), len(q), []
-                while r and c:
-                    if t[r][c] == t[r - 1][c]:
-                        r -= 1
-                    elif t[r][c] == t[r][c - 1]:
-                        c -= 1
-                    else:
-                        r, c = r - 1, c - 1
-                        found.append((p[r], q[c]))
-                for u, v in reversed(found):
-                    trace(u, v)
-        for u, v in zip(x.children[m:], y.children[n:]):
-            trace(u, v)
-
-    if a.tag == b.tag:
-        trace(a, b)
+        below = [*zip(x.children[:i], y.children[:i]), *align(x.children[i:m], y.children[i:n]), *zip(x.children[m:], y.children[n:])]
+        stack.extend(reversed(below))
     return pairs
 
 

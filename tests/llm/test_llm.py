@@ -348,6 +348,29 @@ def test_op7_template_is_induced(spark):
     assert found[100].startswith("Always here") and found[101] == found[102] == "" and len(found) == 15
 
 
+def test_op7_long_lists_and_deep_nesting():
+    from quillspan.llm import dom
+
+    rng = np.random.default_rng(7)
+    kinds = ["<p>x</p>", "<p>x<b>y</b></p>", "<h2>x</h2>", "<ul><li>x</ul>", "<p><i>x</i>y<b>z</b></p>"]
+    trees = []
+    for n in (90, 140):
+        trees.append(dom.parse("<div>" + "".join(kinds[k] for k in rng.integers(0, 5, n)) + "</div>"))
+        dom.prepare(trees[-1])
+    exact = dom.match_trees(*trees)
+    for budget in (1, 50, 1000):
+        pairs = dom.match_trees(*trees, budget)
+        assert len(pairs) == len(exact) and all(x.tag == y.tag for x, y in pairs) and len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+    short, long = (dom.parse("<h2>x</h2>" * k + "<p>x<b>y</b></p>" * 600 + "<hr>" * k) for k in (0, 900))
+    dom.prepare(short), dom.prepare(long)
+    assert len(dom.match_trees(short, long)) == len(dom.match_trees(long, short)) == 1 + 600 * 4
+    deep = "<div>" * 3000
+    page = f"{deep}<p>One<nav>menu</nav><aside>side</aside><div class='comments'><p>bad</p></div></div><p>Two{'</div>' * 2999}<p>Three"
+    assert op7_html.main_text(page) == "One\n\nTwo\n\nThree"
+    made = op7_html.Exemplar(page, frozenset(range(10**4)))
+    assert op7_html.main_text(page.replace("Two", "Second") + "<p>Four", made) == "Second\n\nFour"
+
+
 def test_op7_main_text_is_kept():
     long = "The main text of this page is this long line of words."
     teaser, article = "<article>Teaser</article>", f"<article><p>{long}</p></article>"
