@@ -18,7 +18,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that names its component stays. Ids are distinct here, since a row that shares id and text with another is gone."""
+    """One document of each component stays: a row that shares id and text with another is gone before."""
     return op2_simhash.keep_first(docs)
 
 

@@ -146,12 +146,14 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def homes(fps: DataFrame) -> DataFrame:
-    """fps (doc_id, fp) -> fp, component_id; one row per distinct fingerprint."""
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    """fps (doc_id, fp) -> fp, component_id; one row per distinct fingerprint. With key0 in fps also first: the component's least doc_id and key0, null ids last."""
+    first = [F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "key0")).alias("first")] if "key0" in fps.columns else []
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), *first)
     parts = connected_components(links(distinct.select("fp"))).select(F.col("node").alias("fp"), "component")
-    named = materialise(distinct.join(parts, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "simhash-parts")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return named.join(least, "component").select("fp", "component_id")
+    columns = ["first"] if first else []
+    named = materialise(distinct.join(parts, "fp", "left").select("fp", "least", *columns, F.coalesce("component", "fp").alias("component")), "simhash-parts")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), *[F.min(c).alias(c) for c in columns])
+    return named.drop(*columns).join(least, "component").select("fp", "component_id", *columns)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -165,11 +167,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id names their component, all columns kept; of rows without an id, those in a component without any id.
+    """The rows of docs of the least doc_id in their component, and of its least text hash; all columns kept. Rows without an id come last.
 
     Rows that share a doc_id but not the text are judged apart, each in its own component. Rows equal in doc_id and text stay or go together.
     """
     fps = materialise(fingerprints(docs, text_key()), "simhash")
-    gone = fps.join(homes(fps), "fp").where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone"), F.col("key0").alias("_text"))
+    gone = fps.join(homes(fps), "fp").where("not (doc_id <=> first.doc_id and key0 = first.key0)").select(F.col("doc_id").alias("_gone"), F.col("key0").alias("_text"))
     gone = materialise(gone.distinct(), "simhash-gone")
     return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (text_key() == F.col("_text")), "left_anti")

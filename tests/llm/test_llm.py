@@ -329,6 +329,16 @@ def test_best_fit_takes_tightest_window():
     assert [2048 - o - lengths[i] for i, (_, o) in enumerate(placed)] == [want[i] for i in range(len(lengths))]
 
 
+def test_op2_keep_first_leaves_one_of_each_group(spark):
+    text = " ".join(f"word{i}" for i in range(3000))
+    other = " ".join(f"other{i}" for i in range(3000))
+    data = [(3, text), (3, text + " x"), (None, text + " y"), (9, text + " z"), (None, other), (None, other + " x"), (None, other + " y"), (3, "quite another text")]
+    prints = [op2_simhash.fingerprint(t) for _, t in data]
+    assert all((prints[0] ^ p).bit_count() <= 3 for p in prints[:4]) and all((prints[4] ^ p).bit_count() <= 3 for p in prints[4:7])
+    kept = rows(op2_simhash.keep_first(spark.createDataFrame(data, "doc_id long, text string")))
+    assert sorted((r["doc_id"] or 0, r["text"][:5]) for r in kept) == [(0, "other"), (3, "quite"), (3, "word0")]
+
+
 # 7 html
 
 
