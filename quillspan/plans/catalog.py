@@ -209,7 +209,7 @@ query("normalize_label", duck(f" SELECT doc_id, di, {_NORM.format('label')} AS n
 query("normalize_plain", duck(" SELECT doc_id, di, regexp_replace(lower(label), '[^a-z0-9'']', '', 'g') AS norm FROM v_det", "v_det"))(lambda s, d: _LAB(s, d, X.normalize_plain(F.col("label")).alias("norm")))
 query("tokenize", duck(r" SELECT doc_id, di, list_filter(string_split_regex(trim(label), '\s+'), lambda x: x <> '') AS tokens FROM v_det", "v_det"))(lambda s, d: _LAB(s, d, X.tokenize(F.col("label")).alias("tokens")))
 query("field_kind", duck(r" SELECT doc_id, di, CASE WHEN regexp_matches(lower(label), '\b(month|mm/yyyy|mm/yy)\b') THEN 'month' WHEN regexp_matches(lower(label), '\b(date|dob|dd/mm/yyyy|mm/dd/yyyy|birthday)\b') THEN 'date' WHEN regexp_matches(lower(label), '\b(number of|no\. of|how many|count|quantity|qty|age)\b') THEN 'integer' END AS kind FROM v_det", "v_det"))(lambda s, d: _LAB(s, d, X.field_kind(F.col("label")).alias("kind")))
-query("field_ids", duck(", b AS (SELECT doc_id, di, concat('p', page, '_', coalesce(nullif(substr(regexp_replace(regexp_replace(lower(label), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 40), ''), 'field')) AS base FROM v_det), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY di) AS k FROM b) SELECT doc_id, di, CASE WHEN k = 1 THEN base ELSE concat(base, '_', k) END AS id FROM n", "v_det"))
+@query("field_ids", duck(", b AS (SELECT doc_id, di, concat('p', page, '_', coalesce(nullif(substr(regexp_replace(regexp_replace(lower(label), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 40), ''), 'field')) AS base FROM v_det), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY di) AS k FROM b) SELECT doc_id, di, CASE WHEN k = 1 THEN base ELSE concat(base, '_', k) END AS id FROM n", "v_det"))
 def field_ids(s, d):
     from pyspark.sql import Window
 
