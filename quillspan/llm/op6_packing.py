@@ -102,20 +102,18 @@ def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id
                 yield batch(out[at : at + 8192])
 
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             full: list[tuple] = []
-            for at in range(0, len(texts), 256):
-                for doc_id, data in zip(ids[at : at + 256], ids_of.encode(texts[at : at + 256])):
-                    data += end
-                    n = len(data) // 4
-                    rest = n - n % length
-                    for s in range(0, rest, length):
-                        full.append((doc_id, s, length, zlib.crc32(data[4 * s : 4 * (s + length)]), n, used, 0))
-                        used += 1
-                    if rest < n:
-                        rests.append((doc_id, rest, n - rest, zlib.crc32(data[4 * rest :]), n))
-                    if len(rests) >= block:
-                        yield from flush()
+            for doc_id, ids in zip(b.column(0).to_pylist(), ids_of.encode(b.column(1))):
+                data = ids.astype("<u4").tobytes() + end
+                n = len(data) // 4
+                rest = n - n % length
+                for s in range(0, rest, length):
+                    full.append((doc_id, s, length, zlib.crc32(data[4 * s : 4 * (s + length)]), n, used, 0))
+                    used += 1
+                if rest < n:
+                    rests.append((doc_id, rest, n - rest, zlib.crc32(data[4 * rest :]), n))
+                if len(rests) >= block:
+                    yield from flush()
             if full:
                 yield batch(full)
         if rests:

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import bucket_count, order_key, range_bucket, range_cuts, scratch_path
+from quillspan.llm.common import bucket_count, materialise, order_key, plain_text, scratch_path
 from quillspan.llm.tokens import encoder, tokenizer_path
 
 MAGIC = b"QSPFOR01"
@@ -35,9 +35,10 @@ _HEAD = "<IHBBH"
 def pack_block(ids: np.ndarray) -> bytes:
     low = int(ids.min())
     v = (ids - np.uint32(low)).astype("<u4")
-    width = int(np.sort(v)[(len(v) - 1) * PERCENTILE // 100]).bit_length()
+    at = (len(v) - 1) * PERCENTILE // 100
+    width = int(np.partition(v, at)[at]).bit_length()
     over = np.flatnonzero(v >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
-    bits = np.unpackbits(v.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    bits = np.unpackbits(v.view(np.uint8).reshape(-1, 4)[:, : (width + 7) // 8], axis=1, bitorder="little")[:, :width]
     high = (v[over] >> np.uint32(width)).astype("<u4") if width < 32 else np.empty(0, "<u4")
     return struct.pack(_HEAD, low, len(v), width, 0, len(over)) + np.packbits(bits, bitorder="little").tobytes() + over.astype("<u2").tobytes() + high.tobytes()
 
@@ -46,10 +47,13 @@ def unpack_block(data: bytes, at: int) -> np.ndarray:
     low, n, width, _, outliers = struct.unpack_from(_HEAD, data, at)
     at += struct.calcsize(_HEAD)
     size = (n * width + 7) // 8
-    bits = np.zeros((n, 32), np.uint8)
+    wide = (width + 7) // 8
+    bits = np.zeros((n, 8 * wide), np.uint8)
+    low_bytes = np.zeros((n, 4), np.uint8)
     if width:
         bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
-    v = np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel().copy()
+        low_bytes[:, :wide] = np.packbits(bits, axis=1, bitorder="little")
+    v = low_bytes.view("<u4").ravel()
     at += size
     where = np.frombuffer(data, "<u2", outliers, at)
     v[where] |= np.frombuffer(data, "<u4", outliers, at + 2 * outliers) << np.uint32(width)
@@ -124,30 +128,30 @@ def read_at(data: bytes, position: int) -> int:
     return int(unpack_block(data, int(start))[position % BLOCK])
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 1) -> list[tuple[int, int, int, int]]:
-    """Writes files of ascending doc_id under path (a folder that all executors share) and returns (bucket, part, documents, ids) of each, in order.
+def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, file_ids: int = FILE_IDS) -> DataFrame:
+    """Writes files of ascending doc_id under path (a folder that all executors share) -> bucket, part, docs, ids, first (ids of all files before it); a row a file.
 
-    Texts are dealt by ranges of doc_id, one shuffle, and sorted within. A file is written under the task attempt's name and then renamed, so a lost executor's
-    work is repeated with the same result and never seen in part.
+    Texts are dealt by ranges of doc_id and, within one, of a hash of the text, so an id of any number of rows fills as many ranges as it needs; each range is sorted.
+    A file is written under the task attempt's name and then renamed, so a lost executor's work is repeated with the same result and never seen in part.
     """
     tok = tokenizer_path(tokenizer)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), order_key().alias("k"))
-    cuts = range_cuts(rows, F.col("k"), bucket_count(docs))
-    dealt = rows.withColumn("bucket", range_bucket(F.col("k"), cuts)).repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("k", "text").drop("k")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text(F.col("text").cast("string")).alias("text"))
+    dealt = rows.withColumns({"k": order_key(), "h": F.xxhash64("text")}).repartitionByRange(bucket_count(docs), "k", "h").sortWithinPartitions("k", "h", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         ids_of, store, folder = encoder(tok), *fs.FileSystem.from_uri(path)
-        attempt = TaskContext.get().taskAttemptId()
+        attempt, bucket = TaskContext.get().taskAttemptId(), TaskContext.get().partitionId()
+        end = np.array([end_id], "<u4")
         done: list[tuple[int, int, int, int]] = []
-        writer, sink, temp, bucket = None, None, "", 0
+        writer, sink, temp = None, None, ""
 
         def close() -> None:
             nonlocal writer
             writer.close()
             sink.close()
-            final = f"{folder}/part-{bucket:05d}-{len(done):05d}.qspf"
+            final = f"{folder}/{_name(bucket, len(done))}"
             if store.get_file_info(final).type != fs.FileType.NotFound:
                 store.delete_file(final)
             store.move(temp, final)
@@ -155,56 +159,65 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
             writer = None
 
         for b in batches:
-            names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            if names:
-                bucket = b.column(2)[0].as_py()
-            for at in range(0, len(texts), 256):
-                for name, data in zip(names[at : at + 256], ids_of.encode(texts[at : at + 256])):
-                    if writer is None:
-                        store.create_dir(folder, recursive=True)
-                        temp = f"{folder}/_temp-{bucket:05d}-{len(done):05d}-{attempt}"
-                        sink = store.open_output_stream(temp)
-                        writer = FileWriter(sink)
-                    writer.add(name, np.frombuffer(data + end_id.to_bytes(4, "little"), "<u4"))
-                    if writer.n_ids >= FILE_IDS:
-                        close()
+            for name, ids in zip(b.column(0).to_pylist(), ids_of.encode(b.column(1))):
+                if writer is None:
+                    store.create_dir(folder, recursive=True)
+                    temp = f"{folder}/_temp-{bucket:05d}-{len(done):05d}-{attempt}"
+                    sink = store.open_output_stream(temp)
+                    writer = FileWriter(sink)
+                writer.add(name, np.concatenate([ids, end]))
+                if writer.n_ids >= file_ids:
+                    close()
         if writer is not None:
             close()
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done)], ["bucket", "part", "docs", "ids"])
 
-    return sorted(tuple(r) for r in dealt.mapInArrow(run, "bucket long, part long, docs long, ids long").collect())
+    files = materialise(dealt.mapInArrow(run, "bucket long, part long, docs long, ids long"), "token-files")
+    earlier = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row a range: its number is that of the shuffle's partitions
+    ranges = files.groupBy("bucket").agg(F.sum("ids").alias("all")).select("bucket", earlier(Window.orderBy("bucket"), "all").alias("base"))
+    within = files.withColumn("before", earlier(Window.partitionBy("bucket").orderBy("part"), "ids"))
+    return within.join(ranges, "bucket").select("bucket", "part", "docs", "ids", (F.col("base") + F.col("before")).alias("first"))
 
 
-SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
+def _name(bucket: int, part: int) -> str:
+    return f"part-{bucket:05d}-{part:05d}.qspf"
 
 
-def token_files(docs: DataFrame, path: str | None = None, tokenizer: str = "word_bpe_49k.json", end_id: int = 1) -> DataFrame:
-    """Writes the files and reads them back: -> SCHEMA, one row per input row.
+SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
-    Null and empty texts hold the end id alone. Null ids come first, ties and repeated rows in the order of their texts. An empty table writes no file and gives no
-    rows; other columns are ignored.
-    """
-    spark = docs.sparkSession
-    path = path or scratch_path(spark, "tokens")
-    written = write_token_files(docs, path, tokenizer, end_id)
-    base, before = {}, 0
-    for bucket, part, _, ids in written:
-        base[f"part-{bucket:05d}-{part:05d}.qspf"] = before
-        before += ids
-    if not written:
-        return spark.createDataFrame([], SCHEMA)
+
+def read_token_files(files: DataFrame, path: str) -> DataFrame:
+    """files (bucket, part, first) -> SCHEMA, one row per document of them. Files are dealt to tasks by name and number; each is opened where it is decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(path)
+        names = [x.split()[0] for x in SCHEMA.split(", ")]
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
         for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1)):
-                first, out = base[name.rpartition("/")[2]], []
-                for doc_id, start, ids in read_file(data.as_buffer().to_pybytes()):
+            for bucket, part, first in zip(*(c.to_pylist() for c in b.columns)):
+                with store.open_input_file(f"{folder}/{_name(bucket, part)}") as source:
+                    data = source.read()
+                out = []
+                for doc_id, start, ids in read_file(data):
                     out.append((doc_id, first + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     if len(out) >= 8192:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], [x.split()[0] for x in SCHEMA.split(", ")])
+                        yield batch(out)
                         out = []
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], [x.split()[0] for x in SCHEMA.split(", ")])
+                    yield batch(out)
+
+    return files.select("bucket", "part", "first").repartition(bucket_count(files), "bucket", "part").mapInArrow(run, SCHEMA)
+
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*.qspf").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+def token_files(docs: DataFrame, path: str | None = None, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, file_ids: int = FILE_IDS) -> DataFrame:
+    """Writes the files and reads them back: -> SCHEMA, one row per input row.
+
+    Null and empty texts hold the end id alone. Null ids come first, ties in the order of a hash of their texts and then of the texts. Very long texts take their
+    memory in one task and span blocks like any other. An empty table writes no file and gives no rows; other columns are ignored.
+    """
+    path = path or scratch_path(docs.sparkSession, "tokens")
+    return read_token_files(write_token_files(docs, path, tokenizer, end_id, file_ids), path)

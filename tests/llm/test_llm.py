@@ -475,19 +475,20 @@ def test_op8_keep_first(edges):
 # 9 token files
 
 
-def test_op9_round_trip(docs, edges):
+@pytest.mark.parametrize("file_ids", [op9_token_files.FILE_IDS, 3000])
+def test_op9_round_trip(docs, edges, file_ids):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
-    for source, df in ((rows(docs), docs), ([dict(doc_id=e[0], text=e[1]) for e in EDGES], edges)):
-        order = sorted(source, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
-        want, at = [], 0
-        for r in order:
-            ids = np.array(tok.encode(r["text"] or "", add_special_tokens=False).ids + [1], "<u4")
-            want.append((r["doc_id"], at, len(ids), zlib.crc32(ids.tobytes())))
-            at += len(ids)
-        found = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows(op9_token_files.token_files(df)))
-        assert [(d, s, n, c) for s, d, n, c in found] == want
+    ids_of = lambda t: np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
+    hot = edges.limit(0).unionByName(edges.sparkSession.range(300).selectExpr("cast(null as long) as doc_id", "concat('text ', id % 250) as text"), allowMissingColumns=True)
+    for df in (docs, edges, hot):
+        found = sorted(rows(op9_token_files.token_files(df, file_ids=file_ids)), key=lambda r: r["start"])
+        source = rows(df)
+        assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in found) == Counter((r["doc_id"], len(i), zlib.crc32(i.tobytes())) for r in source for i in [ids_of(r["text"])])
+        assert [r["start"] for r in found] == [0, *np.cumsum([r["n_tokens"] for r in found])[:-1].tolist()]
+        order = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in found]
+        assert order == sorted(order)
 
 
 @pytest.mark.parametrize("values", [[5] * 1000, [0, 2**32 - 1], list(range(1024)), [7] * 900 + [2**31] * 100, [3], [0] * 1023 + [2**32 - 1]])
@@ -512,10 +513,12 @@ def test_op9_random_access():
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_is_the_tokenizer(name, docs):
-    enc = Encoder(tokenizer_path(name), most=500)
-    texts = [r["text"] for r in rows(docs)] + [e[1] or "" for e in EDGES] + ["a   b \n\n c\t\td   e　f  ", " lead", "trail \n", "ΑΣ ΣΑΣ. İI", "é ́x", "'s 're it's  's", "<|startoftext|> x <|endoftext|>", "1234 5,6!!! ?"]
+    enc = Encoder(tokenizer_path(name), most=100_000, batch=50_000)
+    texts = [r["text"] for r in rows(docs)] + [e[1] or "" for e in EDGES] + ["a   b \n\n c\t\td   e　f  ", " lead", "trail \n", "ΑΣ ΣΑΣ. İI", "é ́x", "'s 're it's  's", "<|startoftext|> x <|endoftext|>", "1234 5,6!!! ?", "\n", "\n\n x", "a\n\nb\n\n\nc \n d\n", " a  b", "x" * 3000 + " y\n" + "zé" * 400 + ".", "a\u00a0b \u3000c", "q\0r", ". , .. a., b.,", "\nA.\nB,"]
     want = [np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert enc.encode(texts) == want
+    for some in (texts, texts[::-1]):
+        assert [x.astype("<u4").tobytes() for x in enc.encode(some)] == (want if some is texts else want[::-1])
+    assert [x.tolist() for x in enc.encode([None, ""])] == [[], []] and list(enc.encode([])) == []
 
 
 # 10 chat
