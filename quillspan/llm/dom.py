@@ -326,16 +326,104 @@ def _in_order(root: Node, wanted: set[int]) -> list[Node]:
     return out
 
 
-def blocks(root: Node, template: set[int]) -> list[str]:
+#: Elements that may be the root of the content slots; the share of the varying text that it must hold.
+CONTAINERS = frozenset("article body center div html main section table tbody td tr #root".split())
+VARYING_SHARE = 0.9
+
+
+def varying(root: Node, owner: dict[int, int], same: set[int]) -> Counter[int]:
+    """Letters of a page's text outside links and excluded parts, under the number that owner gives the node or the nearest element above it; without the nodes in same."""
+    found: Counter[int] = Counter()
+    stack = [(root, 0, False)]
+    while stack:
+        node, at, inside = stack.pop()
+        for c in node.children:
+            own = owner.get(id(c), at)
+            if c.tag == "#text":
+                if id(c) not in same:
+                    found[own] += len("".join(c.text.split()))
+            elif c.tag != "a" and not excluded(c, inside):
+                stack.append((c, own, inside or _role(c) in ("article", "main")))
+    return found
+
+
+def content_root(nodes: list[Node], amounts: dict[int, float]) -> int | None:
+    """The number of the innermost container of an exemplar that holds most of its group's varying text, and any main heading that varies; None if there is none.
+
+    nodes are in page order; amounts tells the varying text under each number.
+    """
+    number = {id(n): i for i, n in enumerate(nodes)}
+    up = {number[id(c)]: i for i, n in enumerate(nodes) for c in n.children}
+    total = [amounts.get(i, 0.0) for i in range(len(nodes))]
+    for i in range(len(nodes) - 1, 0, -1):
+        total[up[i]] += total[i]
+    if not nodes or total[0] <= 0:
+        return None
+    headings = [i for i, n in enumerate(nodes) if n.tag == "h1" and total[i] > 0]
+    at, best = 0, None
+    while at is not None:
+        if nodes[at].tag in CONTAINERS:
+            best = at
+        below = [number[id(c)] for c in nodes[at].children]
+        at = next((i for i in below if total[i] >= VARYING_SHARE * total[0]), None)
+    while best and any(not _above(best, h, up) for h in headings):
+        best = up[best]
+    return best or None
+
+
+def _above(top: int, at: int, up: dict[int, int]) -> bool:
+    while at > top:
+        at = up[at]
+    return at == top
+
+
+def _slot(root: Node, chosen: Node, template: set[int]) -> set[int] | None:
+    """The ids of chosen and of what it lies in, if chosen holds most of the page's text outside links, excluded parts and template; their names don't exclude these."""
+    path: list[Node] = []
+    stack: list[tuple[Node, bool]] = [(root, False)]
+    while stack:
+        node, left = stack.pop()
+        if left:
+            path.pop()
+            continue
+        path.append(node)
+        if node is chosen:
+            break
+        stack.append((node, True))
+        stack.extend((c, False) for c in node.children if c.children)
+    kept = {id(n) for n in path}
+    held = everything = 0
+    todo = [(root, False, False)]
+    while todo:
+        node, inside, within = todo.pop()
+        for c in node.children:
+            if id(c) in template:
+                continue
+            if c.tag == "#text":
+                n = len("".join(c.text.split()))
+                everything += n
+                held += n if within else 0
+            elif c.tag != "a" and (id(c) in kept or not excluded(c, inside)):
+                todo.append((c, inside or within or _role(c) in ("article", "main"), within or c is chosen))
+    return kept if held and held >= MAIN_SHARE * everything else None
+
+
+def blocks(root: Node, template: set[int], chosen: Node | None = None) -> list[str]:
     """Texts of the content's blocks in page order, without excluded parts and the nodes whose id() is in template.
 
-    Where nothing is left, parts that only their names exclude are read, and where there are none, forms, asides and headers.
+    chosen is the page's node for the wrapper's content, which is read if it holds most of the page's text; if there is none or it doesn't, elements and names tell
+    what is read. Where nothing is left, parts that only their names exclude are read, and where there are none, forms, asides and headers.
     """
+    kept = _slot(root, chosen, template) if chosen is not None else None
+    if kept is not None:
+        found = _read([chosen], template, lambda c, inside: id(c) not in kept and _marked(c, inside) or _unread(c, inside), True)
+        if found:
+            return found
     roots, kept = content(root, template)
     return _read(roots, template, lambda c, inside: id(c) not in kept and _marked(c, inside) or _unread(c, inside)) or _read([root], template, _unread) or _read([root], template, lambda c, _: c.tag in NOT_TEXT and c.tag not in _AT_LAST)
 
 
-def _read(roots: list[Node], template: set[int], skip: Callable[[Node, bool], bool]) -> list[str]:
+def _read(roots: list[Node], template: set[int], skip: Callable[[Node, bool], bool], inner: bool = False) -> list[str]:
     out: list[str] = []
     parts: list[str] = []
 
@@ -346,7 +434,7 @@ def _read(roots: list[Node], template: set[int], skip: Callable[[Node, bool], bo
             out.append(line)
 
     for r in roots:
-        stack = [(iter(r.children), _role(r) in ("article", "main"), True)]
+        stack = [(iter(r.children), (inner and r.tag not in ("body", "html")) or _role(r) in ("article", "main"), True)]
         while stack:
             rest, inside, block = stack[-1]
             for c in rest:

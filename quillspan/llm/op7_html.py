@@ -2,8 +2,10 @@
 
 Each host has an exemplar, a page of its most frequent layout, and so has each layout of the host; blank pages are none. Every page is aligned with the exemplars
 of its host and of its layout by simple tree matching; over the distinct pages of either it is counted how often a text node of the exemplar is met, and met with
-the same text. Copies of a page count once, so they never make its text look constant. Nodes that stay constant are template and are dropped from the pages;
-varying slots are content, as far as they lie in the article and outside the parts that elements and their names mark as menus, adverts and the like.
+the same text. Copies of a page count once, so they never make its text look constant. Nodes that stay constant are template and are dropped from the pages. The
+varying text is summed by the exemplar's nodes, text without a partner under the nearest element that has one; the wrapper's content is the innermost container
+that holds nine tenths of it. A page's node there is read, if most of its own text lies in it. Where there is no wrapper, or the page doesn't follow it, article and
+main elements tell where the text is. Elements and their names that mark menus, adverts and the like are left out in either case.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspan.llm.common import materialise
-from quillspan.llm.dom import Node, blocks, match_trees, parse, prepare
+from quillspan.llm.dom import Node, blocks, content_root, match_trees, parse, prepare, varying
 
 #: Distinct pages that must meet a node, the share of the host's or layout's distinct pages that must, and the share of those with the same text.
 MIN_PAGES, MIN_SHARE, CONSTANT = 5, 0.5, 0.9
@@ -31,26 +33,35 @@ _CLASS = r"(?i)\sclass\s*=\s*[\"']?([^\"'>]*)"
 
 
 class Exemplar:
-    def __init__(self, page: str, constant: frozenset[int] = frozenset()) -> None:
+    """A page with the numbers of its nodes that are template, and the number of the element that holds the content."""
+
+    def __init__(self, page: str, constant: frozenset[int] = frozenset(), content: int | None = None) -> None:
         self.root = parse(page)
         self.nodes = prepare(self.root)
         self.number = {id(n): i for i, n in enumerate(self.nodes)}
-        self.constant = constant
+        self.constant, self.content = constant, content
 
     def pairs(self, root: Node) -> Iterator[tuple[int, bool, Node]]:
-        """Text nodes of the exemplar that a page meets: number, whether the text is the same, the page's node."""
+        """Nodes of the exemplar that a page meets: number, whether the text is the same, the page's node."""
         for x, y in match_trees(self.root, root):
-            if x.tag == "#text":
-                yield self.number[id(x)], " ".join(x.text.split()) == " ".join(y.text.split()), y
+            yield self.number[id(x)], x.tag == "#text" and " ".join(x.text.split()) == " ".join(y.text.split()), y
 
 
 def main_text(page: str | None, *exemplars: Exemplar) -> str:
+    """The text by the wrappers of the page's groups; the last that has a content element tells where it is."""
     root = parse(page or "")
     template: set[int] = set()
-    if any(e.constant for e in exemplars):
+    chosen = None
+    known = [e for e in exemplars if e.constant or e.content is not None]
+    if known:
         prepare(root)
-        template = {id(node) for e in exemplars if e.constant for i, same, node in e.pairs(root) if same and i in e.constant}
-    return "\n\n".join(blocks(root, template))
+    for e in known:
+        for i, same, node in e.pairs(root):
+            if same and i in e.constant:
+                template.add(id(node))
+            if i == e.content:
+                chosen = node
+    return "\n\n".join(blocks(root, template, chosen))
 
 
 def _host() -> F.Column:
@@ -120,16 +131,19 @@ def extract_text(pages: DataFrame) -> DataFrame:
                     continue
                 root = parse(page)
                 prepare(root)
-                pairs: dict[str, list[tuple[int, bool]]] = {}
+                pairs: dict[str, list[tuple[int, bool | None, float]]] = {}
                 for group, text in found:
                     if text not in pairs:
                         if group not in known:
                             if len(known) > 2000:
                                 known.clear()
                             known[group] = Exemplar(text)
-                        pairs[text] = [(node, same) for node, same, _ in known[group].pairs(root)]
-                    for node, same in pairs[text]:
-                        met[*group, node, same] += weight
+                        e = known[group]
+                        met_here = list(e.pairs(root))
+                        amounts = varying(root, {id(y): i for i, _, y in met_here}, {id(y) for _, same, y in met_here if same})
+                        pairs[text] = [(i, same, 1.0) for i, same, y in met_here if y.tag == "#text"] + [(i, None, float(n)) for i, n in amounts.items()]
+                    for node, same, n in pairs[text]:
+                        met[*group, node, same] += n * weight
             if len(met) > 200_000:
                 yield _counted(met)
                 met.clear()
@@ -137,36 +151,47 @@ def extract_text(pages: DataFrame) -> DataFrame:
             yield _counted(met)
 
     stats = joined(counted, exemplars.select("host", "layout", "exemplar")).mapInArrow(count, "host string, layout long, node int, same boolean, n double")
-    # Sums of 1/n over all n copies are whole numbers but for rounding.
+    # Sums of 1/n over all n copies are whole numbers but for rounding. Rows without `same` tell amounts of varying text.
     whole = lambda n: F.round(F.sum(n)).cast("long")
-    sums = stats.groupBy("host", "layout", "node").agg(whole(F.col("n")).alias("met"), whole(F.when(F.col("same"), F.col("n")).otherwise(0.0)).alias("same")).alias("s")
+    sums = stats.groupBy("host", "layout", "node").agg(whole(F.when(F.col("same").isNotNull(), F.col("n")).otherwise(0.0)).alias("met"), whole(F.when(F.col("same"), F.col("n")).otherwise(0.0)).alias("same"), whole(F.when(F.col("same").isNull(), F.col("n")).otherwise(0.0)).alias("amount")).alias("s")
     of = lambda x, y: (F.col(f"{x}.host") == F.col(f"{y}.host")) & F.col(f"{x}.layout").eqNullSafe(F.col(f"{y}.layout"))
-    fixed = sums.join(exemplars.select("host", "layout", "pages").alias("e"), of("s", "e")).where((F.col("met") >= MIN_PAGES) & (F.col("met") >= MIN_SHARE * F.col("pages")) & (F.col("same") >= CONSTANT * F.col("met")))
-    wrappers = materialise(fixed.groupBy("s.host", "s.layout").agg(F.sort_array(F.collect_set("node")).alias("constant")), "wrappers")
-    constant = {(r["host"], r["layout"]): frozenset(r["constant"]) for r in wrappers.toLocalIterator()} if small else {}
+    fixed = (F.col("met") >= MIN_PAGES) & (F.col("met") >= MIN_SHARE * F.col("pages")) & (F.col("same") >= CONSTANT * F.col("met"))
+    told = sums.join(exemplars.select("host", "layout", "pages").alias("e"), of("s", "e")).groupBy("s.host", "s.layout")
+    told = told.agg(F.sort_array(F.collect_list(F.when(fixed, F.col("node")))).alias("constant"), F.collect_list(F.when(F.col("amount") > 0, F.struct("node", "amount"))).alias("amounts"))
+
+    def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            roots = [content_root(prepare(parse(page)), {x["node"]: x["amount"] for x in amounts}) for page, amounts in zip(b.column("exemplar").to_pylist(), b.column("amounts").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("layout"), b.column("constant"), pa.array(roots, pa.int32())], ["host", "layout", "constant", "content"])
+
+    held = told.alias("t").join(exemplars.select("host", "layout", "exemplar").alias("e"), of("t", "e")).select("t.host", "t.layout", "constant", "amounts", "exemplar")
+    wrappers = materialise(held.mapInArrow(induce, "host string, layout long, constant array<int>, content int"), "wrappers")
+    constant = {(r["host"], r["layout"]): (frozenset(r["constant"]), r["content"]) for r in wrappers.toLocalIterator()} if small else {}
     fixed_nodes = spark.sparkContext.broadcast(constant)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, list[Exemplar]] = {}
         for b in batches:
-            nodes = iter([None] * len(b)) if small else zip(b.column("constant").to_pylist(), b.column("own_constant").to_pylist())
+            listed = iter([None] * len(b)) if small else zip(b.column("constant").to_pylist(), b.column("own_constant").to_pylist(), b.column("content").to_pylist(), b.column("own_content").to_pylist())
             out = []
-            for key, found, page, listed in zip(zip(b.column("host").to_pylist(), b.column("layout").to_pylist()), texts(b), b.column("html").to_pylist(), nodes):
+            for key, found, page, told in zip(zip(b.column("host").to_pylist(), b.column("layout").to_pylist()), texts(b), b.column("html").to_pylist(), listed):
                 if key not in known:
                     if len(known) > 2000:
                         known.clear()
-                    which: dict[str, frozenset[int]] = {}
+                    which: dict[str, tuple[frozenset[int], int | None]] = {}
                     for group, text in found:
-                        fixed = fixed_nodes.value.get(group, frozenset()) if small else frozenset(listed[group[1] is not None] or ())
-                        which[text] = which.get(text, frozenset()) | fixed
-                    known[key] = [Exemplar(t, c) for t, c in which.items() if c]
+                        own = group[1] is not None
+                        fixed, at = fixed_nodes.value.get(group, (frozenset(), None)) if small else (frozenset(told[own] or ()), told[2 + own])
+                        before, root = which.get(text, (frozenset(), None))
+                        which[text] = before | fixed, at if at is not None else root
+                    known[key] = [Exemplar(t, c, at) for t, (c, at) in which.items()]
                 out.append(main_text(page, *known[key]))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     schema = T.StructType([*base.select("page_id", "url").schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     if small:
         return base.mapInArrow(extract, schema)
-    known_groups = exemplars.select("host", "layout", "exemplar").alias("e").join(wrappers.alias("w"), of("e", "w"), "left").select("e.host", "e.layout", "exemplar", "constant")
+    known_groups = exemplars.select("host", "layout", "exemplar").alias("e").join(wrappers.alias("w"), of("e", "w"), "left").select("e.host", "e.layout", "exemplar", "constant", "content")
     return joined(base, known_groups).mapInArrow(extract, schema)
 
 

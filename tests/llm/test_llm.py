@@ -430,6 +430,29 @@ def test_op7_pages(spark):
     assert found == want
 
 
+def _article_texts(pages):
+    import html
+
+    want = {}
+    for r in rows(pages):
+        body = re.search("<article>(.*)</article>", r["html"], re.S)[1]
+        want[r["page_id"]] = "\n\n".join(x for x in (" ".join(html.unescape(re.sub("</?b>", "", p)).split()) for p in re.split("</?(?:p|h1)>", body.replace("<br>", " "))) if x)
+    return want
+
+
+def test_op7_wrapper_decides(spark):
+    """Pages of hosts with five or more, without a telling element or name: menus, adverts and foot lines are plain divs, the article too."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("host", F.regexp_extract("url", "//([^/]*)", 1))
+    pages = pages.join(pages.groupBy("host").count().where("count >= 5").select("host"), "host")
+    bare = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "(?i)(</?)(?:article|nav|footer|header|aside|main|section)\\b[^>]*>", "$1div>"), "<div class=[^>]*>", "<div>"))
+    want = _article_texts(pages)
+    found = {r["page_id"]: r["text"] for r in rows(op7_html.extract_text(bare))}
+    plain = {r["page_id"]: op7_html.main_text(r["html"]) for r in rows(bare)}
+    assert len(want) > 100 and found.keys() == want.keys()
+    assert sum(plain[i] == want[i] for i in want) == 0
+    assert sum(found[i] == want[i] for i in want) >= 0.75 * len(want)
+
+
 # 8 exact dedup
 
 
