@@ -10,7 +10,7 @@ from quillspan.llm.common import materialise, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = op4_toxicity.train_on(docs, table(spark, sf_dir, "labels"))
-    return op4_toxicity.score_documents(docs, model).where("predicted = 0").select(*docs.columns)
+    return op4_toxicity.score_documents(docs, model).where("predicted = 0").select("_row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Every row of df as one struct, _row, beside the given columns: helper columns can't clash with df's own, and select("_row.*") gives df's columns back."""
+    return df.select(F.struct(*own_columns(df)).alias("_row"), *[c.alias(n) for n, c in columns.items()])
+
+
 def plain_text(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import bucket_count, materialise, plain_text
+from quillspan.llm.common import bucket_count, materialise, packed, plain_text
 from quillspan.llm.components import connected_components
 
 SEED = 42
@@ -172,6 +172,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Rows that share a doc_id but not the text are judged apart, each in its own component. Rows equal in doc_id and text stay or go together.
     """
     fps = materialise(fingerprints(docs, text_key()), "simhash")
-    gone = fps.join(homes(fps), "fp").where("not (doc_id <=> first.doc_id and key0 = first.key0)").select(F.col("doc_id").alias("_gone"), F.col("key0").alias("_text"))
+    gone = fps.join(homes(fps), "fp").where("not (doc_id <=> first.doc_id and key0 = first.key0)").select(F.col("doc_id").alias("gone"), "key0")
     gone = materialise(gone.distinct(), "simhash-gone")
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (text_key() == F.col("_text")), "left_anti")
+    rows = packed(docs, doc_id=F.col("doc_id").cast("long"), key=text_key())
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")) & (F.col("key") == F.col("key0")), "left_anti").select("_row.*")

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspan.llm.common import packed
+
 FOLDS = 5
 #: Bound of the training sample, documents a class.
 SAMPLE = 2500
@@ -207,20 +209,18 @@ def train_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxici
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """Adds score (0 to 1) and predicted (score >= 0.5) to every row of docs, all columns kept; those of the same names are replaced.
+    """-> _row (every row of docs as a struct, so that no name clashes), score (0 to 1) and predicted (score >= 0.5).
 
     Null and empty texts have no window and get the score that calibration gives to none. Every window of a text counts, however long.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
-    base = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    at = [c.lower() for c in kept].index("text")
+    base = packed(docs, text=F.col("text").cast("string"))
+    schema = T.StructType([base.schema["_row"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
         for b in batches:
-            scores = np.array([scorer.score(t) for t in b.column(at).to_pylist()], np.float64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [*kept, "score", "predicted"])
+            scores = np.array([scorer.score(t) for t in b.column(1).to_pylist()], np.float64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["_row", "score", "predicted"])
 
     return base.mapInArrow(run, schema)
 
@@ -228,4 +228,5 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """-> doc_id, held_out, score, predicted; one row per input row (null ids count as not held out). Tables without labels of both kinds give a constant score."""
     model = train_on(docs, labels)
-    return score_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    scored = score_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    return scored.select(F.col("_row.doc_id").alias("doc_id"), "score", "predicted").select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import NOT_WS_CLASS, WS_CLASS, materialise, plain_text, word_count
+from quillspan.llm.common import NOT_WS_CLASS, WS_CLASS, materialise, packed, plain_text, word_count
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 #: Bits of the hash, and of those used by the first and the second histogram.
 BITS, FIRST, SECOND = 60, 12, 16
+#: Repeated rows are numbered in so many cells.
+CELLS = 256
 
 
 def hash_key() -> Column:
@@ -79,12 +81,21 @@ def _bounds(rows: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFram
 
 
 def _taken(rows: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Adds source_size, target and taken to rows (source, doc_id, _size, _key, ...): a comparison for all but the rows of a source's last bucket, which are summed in order."""
+    """Adds source_size, target and taken to rows (source, doc_id, _size, _key, ...): a comparison for all but the rows of a source's last bucket, which are summed in order.
+
+    Rows of one hash there are repeated rows. They are counted in cells, so that the order is one of a few cells, and any number of repeated rows is numbered cell by cell.
+    """
     held = rows.alias("r").join(bounds.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source"))).select("r.*", "b.source_size", "b.target", "b.copies", "b.budget", "b.bucket2", "b.left2")
     last = _bucket2() == F.col("bucket2")
     clear = held.where(~F.coalesce(last, F.lit(False))).withColumn("_part", F.when((F.col("budget") > 0) & F.coalesce(_bucket2() < F.col("bucket2"), F.lit(True)), F.col("_size")).otherwise(0))
-    w = Window.partitionBy("source", "bucket2").orderBy("_key", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = held.where(last).withColumn("_part", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("left2") - F.coalesce(F.sum("_size").over(w), F.lit(0)))))
+    edge = materialise(held.where(last).withColumn("_cell", F.pmod(F.monotonically_increasing_id(), F.lit(CELLS))), "mix-edge")
+    alike = ["source", "bucket2", "_key", "doc_id", "_size", "_cell"]
+    order = Window.partitionBy("source", "bucket2").orderBy("_key", "doc_id", "_size", "_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = edge.groupBy(*alike).agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum(F.col("n") * F.col("_size")).over(order), F.lit(0)))
+    edge = edge.withColumn("_nth", F.row_number().over(Window.partitionBy(*alike).orderBy("_key"))).alias("e")
+    edge = edge.join(cells.drop("n").alias("c"), [F.col(f"e.{c}").eqNullSafe(F.col(f"c.{c}")) for c in alike]).select("e.*", "c._before")
+    spent = F.col("_before") + (F.col("_nth") - 1) * F.col("_size")
+    edge = edge.withColumn("_part", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("left2") - spent))).drop("_cell", "_nth", "_before")
     out = clear.unionByName(edge).withColumn("taken", (F.col("copies") * F.col("_size") + F.col("_part")).cast("long"))
     return out.drop("copies", "budget", "bucket2", "left2", "_part")
 
@@ -92,8 +103,8 @@ def _taken(rows: DataFrame, bounds: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """-> doc_id, source, size, source_size, target, taken; one row per input row.
 
-    Null texts have size 0; documents without words are never taken. Null is a source of its own, ranked last. Repeated rows have one hash and lie in one
-    last bucket, where they are taken one by one. The last document of a source may be taken in part, so sums of taken equal the rounded target. An empty
+    Null texts have size 0; documents without words are never taken. Null is a source of its own, ranked last. Repeated rows have one hash; those in the
+    last bucket are taken one by one. Words of very long texts are counted without building an array of them. The last document of a source may be taken in part, so sums of taken equal the rounded target. An empty
     table gives no rows; other columns are ignored. A hot source is summed per task before any shuffle.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("_size"), hash_key().alias("_key"))
@@ -102,19 +113,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """The rows of docs as often as the mix takes them whole, and once more cut after the words it takes in part; all columns kept, n_chars, if there, recounted.
+    """The rows of docs as often as the mix takes them whole, and once more cut after the words it takes in part; all columns kept, whatever their names; n_chars, if
+    there, recounted.
 
     A row's own hash and its source's bounds decide, so texts are not shuffled. Documents without words leave.
     """
-    rows = docs.withColumns({"_size": word_count(), "_key": hash_key()})
+    rows = packed(docs, doc_id=F.col("doc_id").cast("long"), source=F.col("source").cast("string"), _size=word_count(), _key=hash_key(), text=plain_text())
     narrow = materialise(rows.select("source", "_size", "_key"), "mix-rows")
     held = _taken(rows, _bounds(narrow, weights, repeats)).where("taken > 0")
-    pieces = F.split(plain_text(), f"(?<={WS_CLASS})(?={NOT_WS_CLASS})")
-    lead = F.regexp_like(plain_text(), F.lit(f"^{WS_CLASS}")).cast("int")
+    pieces = F.split("text", f"(?<={WS_CLASS})(?={NOT_WS_CLASS})")
+    lead = F.regexp_like("text", F.lit(f"^{WS_CLASS}")).cast("int")
     rest = (F.col("taken") % F.col("_size")).cast("int")
     cut = F.when(rest > 0, F.array_join(F.slice(pieces, 1, rest + lead), ""))
-    copies = F.array_repeat(plain_text(), F.floor(F.col("taken") / F.col("_size")).cast("int"))
-    out = held.withColumn("text", F.explode(F.concat(copies, F.array_compact(F.array(cut)))))
+    copies = F.array_repeat("text", F.floor(F.col("taken") / F.col("_size")).cast("int"))
+    out = held.select("_row", F.explode(F.concat(copies, F.array_compact(F.array(cut)))).alias("text"))
+    kept = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        kept["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[kept.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])

@@ -480,6 +480,26 @@ def test_op8_colliding_digests(docs):
     _check_dedup(rows(op8_exact_dedup.exact_duplicates(docs, digest=weak)), rows(docs))
 
 
+def test_op8_index_merges_runs(spark):
+    """Runs flushed one after another, compacted twice; the filter passes every digest in it."""
+    index = op8_exact_dedup.DigestIndex(spark)
+    batches = [[(i + 10 * k, f"t{(i * 7 + k) % 9}") for i in range(20)] for k in range(4)]
+    frame = lambda b: spark.createDataFrame(b, "doc_id long, t string").select("doc_id", F.unhex(F.sha2("t", 256)).alias("digest"))
+    every = []
+    for k, b in enumerate(batches):
+        index.flush(frame(b))
+        every += b
+        if k % 2:
+            assert len(index.runs) == 2 + (k > 1)
+            got = {bytes(r["digest"]): (r["least"]["doc_id"], r["rows"]) for r in index.compact().collect()}
+            assert len(index.runs) == 1
+            want = {hashlib.sha256(t.encode()).digest(): (min(i for i, x in every if x == t), sum(x == t for _, x in every)) for t in {t for _, t in every}}
+            assert got == want
+    probe = frame([(1, "t1"), (2, "t2")] + [(i, f"other{i}") for i in range(500)])
+    flagged = op8_exact_dedup.Filter(index.runs[0].select("digest")).flag(probe).where("maybe").collect()
+    assert {r["doc_id"] for r in flagged} >= {1, 2} and len(flagged) < 20
+
+
 def test_op2_keep_first(spark):
     """One row of each component, also where rows share a doc_id or have none."""
     near = "one two three four five six seven eight nine ten "
@@ -566,6 +586,50 @@ def test_op10_long_conversation(spark):
 # pipeline
 
 
+CLASHES = "digest word b bits held maybe name n target taken budget score predicted copies source_size _size _key _row key gone key0 bucket2 norm rid least".split()
+
+
+def test_stages_keep_clashing_columns(spark, edges):
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame(EDGES, SCHEMA).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHES}).withColumn("a.b", F.lit("dot"))
+    plain = spark.createDataFrame(EDGES, SCHEMA)
+    for name, stage in p.STAGES[:-1]:
+        got, want = stage(spark, docs, SF), stage(spark, plain, SF)
+        assert got.columns == docs.columns, name
+        assert Counter(map(str, rows(got.select(*plain.columns)))) == Counter(map(str, rows(want))), name
+        assert all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") and r["a.b"] == "dot" for r in rows(got) for c in CLASHES), name
+    assert rows(p.STAGES[-1][1](spark, docs.limit(0), SF)) == []
+
+
+def test_stages_on_empty_table(spark, nothing):
+    import corpus_pipeline as p
+
+    for _, stage in p.STAGES:
+        assert stage(spark, nothing, SF).count() == 0
+
+
+def test_op5_repeated_rows(spark):
+    """One document is a third of all rows and lies in the last bucket, whatever the bucket."""
+    data = [(1, "a b c", "en", "s1", 5)] * 400 + [(i, f"word {i} more", "en", "s1", 9) for i in range(2, 200)] + [(i, "x " * i, "en", "s2", 9) for i in range(200, 260)]
+    df = spark.createDataFrame(data, SCHEMA)
+    found = rows(op5_mixing.mix(df))
+    assert len(found) == len(data)
+    sizes, taken = Counter(), Counter()
+    for r in found:
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - want) <= 1 for s, want in _water(sizes).items())
+    want = duckdb_rows(df, "op5_mixing")
+    assert Counter((r["doc_id"], r["taken"]) for r in found) == Counter(want)
+
+
+def duckdb_rows(df, name):
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    return con.execute(f"select doc_id, taken from ({queries.oracle_sql()[name]})").fetchall()
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
