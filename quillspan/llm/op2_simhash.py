@@ -4,8 +4,7 @@ Two 64-bit fingerprints at 3 or fewer differing bits differ in at most 3 of thei
 The 14 planes of the affine space of the 8 positions (the 4-sets whose numbers xor to 0) meet every such pair: any 3 positions lie in one
 plane, and the pair agrees on the whole of the plane's complement, itself a plane. Posting lists are therefore keyed by the 4 positional
 bytes of a plane instead of a single byte, whose lists would hold a 256th of all fingerprints each. Within a list, shared positional
-bytes are tallied, pairs under the guaranteed 5 are dropped, the rest is verified by the count of differing bits, and only the links of
-a spanning forest leave the task.
+bytes are tallied for each pair, and only pairs of the guaranteed 5 have their differing bits counted; the links of a spanning forest leave the task.
 """
 
 from __future__ import annotations
@@ -26,6 +25,8 @@ SHINGLE = 3
 MAX_BITS = 3
 #: Positions shared at least: 8 bytes less one for each differing bit.
 GUARANTEED = 8 - MAX_BITS
+#: Fingerprints in a list that one task compares whole.
+HEAVY = 16_384
 PLANES = sorted({tuple(sorted((a, b, c, a ^ b ^ c))) for a in range(8) for b in range(a) for c in range(b)})
 
 
@@ -77,7 +78,8 @@ def _links(run: np.ndarray, rows: int = 256, columns: int = 8192) -> list[tuple[
         for to in range(at, n, columns):
             part = run[at : at + rows, None] ^ run[None, to : to + columns]
             shared = (np.ascontiguousarray(part).view(np.uint8).reshape(part.shape + (8,)) == 0).sum(axis=2, dtype=np.uint8)
-            near = (shared >= GUARANTEED) & (np.bitwise_count(part) <= MAX_BITS)
+            near = shared >= GUARANTEED
+            near[near] = np.bitwise_count(part[near]) <= MAX_BITS
             for i in np.flatnonzero(near.any(axis=1)).tolist():
                 own = label[at + i]
                 js = to + np.flatnonzero(near[i])
@@ -89,10 +91,11 @@ def _links(run: np.ndarray, rows: int = 256, columns: int = 8192) -> list[tuple[
     return out
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, heavy_list: int = HEAVY) -> DataFrame:
     """distinct (fp) -> (a, b): fingerprints at 3 or fewer bits, enough of them to connect all that are linked.
 
-    A list holds distinct fingerprints only, however many documents share one. It is compared in blocks of fixed size, so memory holds 8 bytes a fingerprint.
+    A list holds distinct fingerprints only, however many documents share one. A list of over HEAVY of them is cut into blocks by a hash, and every two blocks are
+    compared in a list of their own, so no task compares more than a few blocks at a time.
     """
     byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
     keys = []
@@ -102,7 +105,14 @@ def links(distinct: DataFrame) -> DataFrame:
             key = key + byte(p) * F.lit(1 << (8 * i))
         keys.append(key)
     n = bucket_count(distinct)
-    posting = distinct.select("fp", F.explode(F.array(*keys)).alias("key")).repartition(n, "key").sortWithinPartitions("key", "fp")
+    posting = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
+    heavy = materialise(posting.groupBy("key").count().where(F.col("count") > heavy_list).select("key", F.ceil(F.col("count") * 2 / heavy_list).alias("blocks")), "simhash-heavy")
+    if heavy.limit(1).count():
+        own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+        cut = posting.join(heavy, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        cut = cut.select("fp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
+        posting = posting.join(heavy, "key", "left_anti").unionByName(cut, allowMissingColumns=False)
+    posting = posting.select("fp", "key").repartition(n, "key").sortWithinPartitions("key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held = None, []

@@ -23,8 +23,10 @@ from pyspark.sql import types as T
 from quillspan.llm.common import packed
 
 FOLDS = 5
-#: Bound of the training sample, documents a class.
-SAMPLE = 2500
+#: Bound of the training sample: toxic documents (twice as many ordinary ones), and bytes of each, longer ones being left out of it.
+SAMPLE, SAMPLE_BYTES = 2500, 32_768
+#: A term must occur in so many training texts, however many there are (in fewer where there are under 640); told by cross-validation on training rows.
+MOST_FLOOR = 8
 PREFIXES = (4, 5, 6, 7, 8)
 #: Around every word: what both dictionaries hold. zstandard looks for no match in a block's last 8 bytes, so a word must not end one.
 BEFORE, AFTER = bytes(range(1, 9)) + bytes(range(14, 22)), bytes(range(0xC0, 0xD0))
@@ -121,7 +123,7 @@ def _families(texts: list[str], bands: int = 6, rows: int = 4) -> list[str]:
 
 def _contrast(own: Counter, n_own: int, other: Counter, n_other: int) -> list[str]:
     """Prefixes and whole words (with a space at the end) much more frequent in own, the shortest of those that begin alike, lengthened while they lose little."""
-    floor = max(4, n_own // 80)
+    floor = min(MOST_FLOOR, max(4, n_own // 80))
     good = {g for g, n in own.items() if n >= floor and n * (n_other + 1) > 12 * (other[g] + 0.4) * (n_own + 1)}
     roots = [g for g in good if not any(g[:k] in good for k in PREFIXES if k < len(g))]
     by_root: dict[str, list[str]] = {}
@@ -193,7 +195,8 @@ def held_out() -> F.Column:
 
 
 def train_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
-    """At most `sample` documents a class, those of least hash, from labelled rows outside the held-out fold. The ids (bounded) are sent to the documents."""
+    """At most `sample` toxic and twice as many ordinary documents, those of least hash, from labelled rows outside the held-out fold. The ids (bounded) are sent to
+    the documents; of rows that share an id the least text is taken, so the driver gets at most 3 * sample * SAMPLE_BYTES bytes. Conflicting labels of an id count as toxic."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = F.xxhash64(F.col("doc_id"), F.lit(4))
     picked: dict[int, int] = {}
@@ -202,7 +205,8 @@ def train_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxici
     if not picked:
         return train([], [])
     ids = docs.sparkSession.createDataFrame([(int(i),) for i in picked], "doc_id long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").toLocalIterator(prefetchPartitions=True)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    rows = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).toLocalIterator(prefetchPartitions=True)
     texts = sorted((int(r[0]), r[1] or "") for r in rows)
     texts.sort(key=lambda r: (r[0] * 2654435761 % 2**32, r[1]))
     return train([t for i, t in texts if picked[i] == 1], [t for i, t in texts if picked[i] == 0])
@@ -226,7 +230,10 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """-> doc_id, held_out, score, predicted; one row per input row (null ids count as not held out). Tables without labels of both kinds give a constant score."""
+    """-> doc_id, held_out, score, predicted; one row per input row (null ids count as not held out). Tables without labels of both kinds give a constant score.
+
+    Equal texts have equal scores, repeated rows theirs each; a score of just 0.5 counts as toxic. Other columns are ignored.
+    """
     model = train_on(docs, labels)
     scored = score_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
     return scored.select(F.col("_row.doc_id").alias("doc_id"), "score", "predicted").select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -154,7 +154,8 @@ def test_op2_brute_force(docs):
         assert r["fingerprint"] == f"{fps[r['doc_id']]:016x}" and r["component_id"] == want[r["doc_id"]]
 
 
-def test_op2_links_lose_none(spark):
+@pytest.mark.parametrize("heavy", [16_384, 12])
+def test_op2_links_lose_none(spark, heavy):
     rng = np.random.default_rng(3)
     base = [int(x) for x in rng.integers(0, 2**63, 12)]
     fps = {0, 1, 3, 7, 15, 2**64 - 1}
@@ -170,7 +171,7 @@ def test_op2_links_lose_none(spark):
     got = {f: f for f in fps}
     from quillspan.llm.components import connected_components
 
-    for r in connected_components(op2_simhash.links(df)).collect():
+    for r in connected_components(op2_simhash.links(df, heavy)).collect():
         got[r["node"] % 2**64] = r["component"] % 2**64
     assert len(set(got.values())) == len(set(want.values()))
     assert {frozenset(f for f in fps if got[f] == c) for c in set(got.values())} == {frozenset(f for f in fps if want[f] == c) for c in set(want.values())}
