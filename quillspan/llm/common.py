@@ -68,28 +68,6 @@ def order_key(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(LONG_MIN))
 
 
-def range_cuts(df: DataFrame, key: Column, buckets: int) -> list[int]:
-    """At most buckets - 1 values of the key (each occurs in df) that split its range evenly. Only the key's column is read; the result's size is bounded by `buckets`."""
-    buckets = min(buckets, 4096)
-    if buckets < 2:
-        return []
-    probs = [i / buckets for i in range(1, buckets)]
-    found = df.select(F.percentile_approx(key, F.array(*map(F.lit, probs)), F.lit(20 * buckets)).alias("q")).first()["q"]
-    return sorted(set(found or []))
-
-
-def range_bucket(key: Column, cuts: list[int]) -> Column:
-    """Number of cuts <= key, as a balanced tree of comparisons."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(cuts)).cast("int")
-
-
 def bucket_count(df: DataFrame) -> int:
     """As many range buckets as Spark is told to shuffle into, and no fewer than the input has partitions."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions(), 1)

@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import bucket_count, order_key, range_bucket, range_cuts
+from quillspan.llm.common import bucket_count, materialise, order_key
 
 BUCKETS = 256
 #: Difference of two codes: apart by the whole range counts double.
@@ -55,51 +56,67 @@ def _row(doc_id: int | None, text: str, fp: bytes, follower: str, follower_fp: b
     n = len(text)
     edited = (text[: n - n // 2] + follower[: n // 2]).encode("utf-8", "surrogatepass")
     edited_fp = digest(edited)
-    return doc_id, n, hashlib.sha256(edited).hexdigest(), fp.hex(), edited_fp.hex(), likeness(fp, edited_fp), likeness(fp, follower_fp)
+    return doc_id, n, hashlib.sha256(edited).digest(), fp, edited_fp, likeness(fp, edited_fp), likeness(fp, follower_fp)
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+_TYPES = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited": pa.binary(), "fp": pa.binary(), "edited_fp": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64()}
+_ROW = "doc_id long, n_chars long, edited binary, fp binary, edited_fp binary, near_edited double, near_next double"
+
+
+def _batch(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array(c, t) for c, t in zip(zip(*rows), _TYPES.values())]
 
 
 def document_digests(docs: DataFrame) -> DataFrame:
-    """-> SCHEMA, one row per input row: the digest of each text, of its edited text, and their likeness.
+    """-> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, one row per input row: the digest of each text, of its edited text,
+    and their likeness.
 
-    Order is by doc_id, null ids first, ties by text; a null text is empty, whose digest has no bucket set; the last document is followed by the first (a
-    single one by itself). An empty table gives no rows; other columns are ignored. The texts are shuffled once, by ranges of doc_id; the first document of
-    a range also goes to the range before it.
+    Order is by doc_id, null ids first, ties by a hash of the text and then the text; a null text is empty, whose digest has no bucket set; the last document is
+    followed by the first (a single one by itself). Very long texts are read whole, in pieces of a megabyte. An empty table gives no rows; other columns are
+    ignored. The texts are shuffled once, by ranges of that order, so an id of any number of rows fills as many ranges as it needs; the last text of each range
+    meets the first of the next in a small join.
     """
-    key = order_key()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), key.alias("k"))
-    cuts = range_cuts(rows, F.col("k"), bucket_count(docs))
-    first = rows.agg(F.min("k")).first()[0]
-    n = len(cuts) + 1
-    own = range_bucket(F.col("k"), cuts)
-    copies = [F.struct(own.alias("bucket"), F.lit(0).alias("flag"))]
-    if cuts:
-        copies.append(F.when(F.col("k").isin(cuts), F.struct((own - 1).alias("bucket"), F.lit(1).alias("flag"))))
-    if first is not None:
-        copies.append(F.when(F.col("k") == F.lit(first), F.struct(F.lit(n - 1).alias("bucket"), F.lit(2).alias("flag"))))
-    dealt = (
-        rows.withColumn("to", F.explode(F.array_compact(F.array(*copies))))
-        .select("doc_id", "text", "k", "to.bucket", "to.flag")
-        .repartitionById(n, F.col("bucket"))
-        .sortWithinPartitions("bucket", "flag", "k", "text")
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    order = ["k", "h", "text"]
+    dealt = rows.withColumns({"k": order_key(), "h": F.xxhash64("text")}).repartitionByRange(bucket_count(docs), "k", "h").sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        held, pid = None, TaskContext.get().partitionId()
+
+        def made(out: list[tuple], edge: str, texts: list[str | None]) -> pa.RecordBatch:
+            n = len(out)
+            return pa.RecordBatch.from_arrays([*_batch(out), pa.array([pid] * n, pa.int32()), pa.array([edge] * n, pa.string()), pa.array(texts, pa.string())], [*_TYPES, "pid", "edge", "text"])
+
         for b in batches:
             out = []
-            for doc_id, text, flag in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(4).to_pylist()):
-                if held is None and flag:
-                    continue
-                fp = digest(text.encode("utf-8", "surrogatepass"))
-                if held is not None:
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                fp = digest(_bytes(text))
+                if held is None:
+                    yield made([(None,) * 7], "first", [text])
+                else:
                     out.append(_row(*held, text, fp))
-                held = None if flag else (doc_id, text, fp)
+                held = doc_id, text, fp
+            if out:
+                yield made(out, "", [None] * len(out))
+        if held is not None:
+            yield made([(held[0], *(None,) * 6)], "last", [held[1]])
+
+    parts = materialise(dealt.mapInArrow(run, f"{_ROW}, pid int, edge string, text string"), "digest-rows")
+    # one row a range
+    firsts = parts.where("edge = 'first'").select("pid", F.col("text").alias("follower"))
+    after = firsts.select("pid", F.coalesce(F.lead("pid").over(Window.orderBy("pid")), F.min("pid").over(Window.partitionBy())).alias("next"))
+    edges = parts.where("edge = 'last'").select("doc_id", "text", "pid").join(after, "pid").join(firsts.withColumnRenamed("pid", "next"), "next").select("doc_id", "text", "follower")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [_row(doc_id, text, digest(_bytes(text)), follower, digest(_bytes(follower))) for doc_id, text, follower in zip(*(c.to_pylist() for c in b.columns))]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                yield pa.RecordBatch.from_arrays(_batch(out), list(_TYPES))
 
-    return dealt.mapInArrow(run, SCHEMA)
+    every = parts.where("edge = ''").select(*_TYPES).unionByName(edges.mapInArrow(close, _ROW))
+    text = lambda c: F.lower(F.hex(c))
+    return every.select("doc_id", "n_chars", text("edited").alias("edited_sha256"), text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next")

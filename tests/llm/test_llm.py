@@ -188,6 +188,36 @@ def test_op2_edges(edges):
 # 3 digests
 
 
+def _plain_digest(data):
+    counts = [0] * 256
+    for i in range(len(data)):
+        for salt, (p, q) in enumerate([(1, 2), (1, 3), (2, 3)]):
+            if i + q < len(data):
+                x = data[i] * 0x9E3779B1 + data[i + p] * 0x85EBCA77 + data[i + q] * 0xC2B2AE3D + 0x27D4EB2F * (salt + 1)
+                counts[(x * 0x165667B1 & 0xFFFFFFFF) >> 24] += 1
+    ranked = sorted(counts)
+    codes = [sum(c > ranked[k] for k in (63, 127, 191)) for c in counts]
+    return codes, min(255, int(np.log1p(len(data)) * 12))
+
+
+def _plain_likeness(a, b):
+    apart = sum(6 if abs(x - y) == 3 else abs(x - y) for x, y in zip(a[0], b[0])) + abs(a[1] - b[1])
+    return 1.0 if a == b else max(0.0, 1 - apart / (1.625 * 256))
+
+
+def test_op3_against_plain(docs):
+    source = sorted(rows(docs), key=lambda r: r["doc_id"])[:60]
+    found = {r["doc_id"]: r for r in rows(op3_digest.document_digests(docs.where(F.col("doc_id") <= source[-1]["doc_id"])))}
+    prints = [_plain_digest(r["text"].encode()) for r in source]
+    for i, r in enumerate(source):
+        t, j = r["text"], (i + 1) % len(source)
+        edited = _plain_digest((t[: len(t) - len(t) // 2] + source[j]["text"][: len(t) // 2]).encode())
+        codes, size = prints[i]
+        f = found[r["doc_id"]]
+        assert f["fingerprint"] == bytes(sum(codes[4 * k + m] << 2 * m for m in range(4)) for k in range(64)).hex() + f"{size:02x}"
+        assert f["near_edited"] == pytest.approx(_plain_likeness(prints[i], edited)) and f["near_next"] == pytest.approx(_plain_likeness(prints[i], prints[j]))
+
+
 def test_op3_whole(docs):
     source = sorted(rows(docs), key=lambda r: r["doc_id"])
     found = {r["doc_id"]: r for r in rows(op3_digest.document_digests(docs))}
@@ -206,6 +236,13 @@ def test_op3_whole(docs):
 def test_op3_edges(edges):
     found = rows(op3_digest.document_digests(edges))
     assert Counter(r["doc_id"] for r in found) == Counter(e[0] for e in EDGES)
+    edited = lambda t, n: hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()
+    by = defaultdict(list)
+    for e in EDGES:
+        by[e[0]].append(e[1] or "")
+    for i, nxt in ((None, -8), (-8, 1), (1, 2), (2, 3), (3, 4)):
+        assert next(r for r in found if r["doc_id"] == i)["edited_sha256"] == edited(by[i][0], by[nxt][0])
+    assert next(r for r in found if r["doc_id"] == 4)["edited_sha256"] in {edited(by[4][0], t) for t in by[5]}
     same = [r["fingerprint"] for r in found if r["doc_id"] in (6, 7)]
     assert len(set(same)) == 1
     assert next(r for r in found if r["doc_id"] is None)["near_next"] >= 0
