@@ -15,13 +15,14 @@ def slug(s: Column, most: int = 40) -> Column:
     return F.coalesce(F.nullif(F.substring(t, 1, most), F.lit("")), F.lit("field"))
 
 
-_LEADER = r"(?:[.·](?:[ \t]*[.·])+|…)"
+#: Dots or middle dots, two or more, with blanks or tabs between them; or an ellipsis.
+_DOTS = r"(?:(?:[.\x{b7}][ \t]*)+[.\x{b7}]|\x{2026})"
 
 
 def strip_leaders(s: Column) -> Column:
-    """Cuts runs of two or more dots, or an ellipsis, at either end with the separators beside them; an unchanged label stays as it is."""
-    t = F.regexp_replace(s, rf"^[\s,;:]*{_LEADER}[\s,;:]*", "")
-    t = F.regexp_replace(t, rf"[\s,;:]*{_LEADER}[\s,;:]*$", "")
+    """Cuts a dot leader at either end, with the blanks, commas, colons and semicolons on its inner side; an unchanged label stays as it is."""
+    t = F.regexp_replace(s, rf"^\s*{_DOTS}[ \t,;:]*", "")
+    t = F.regexp_replace(t, rf"[ \t,;:]*{_DOTS}\s*$", "")
     return F.when(t == s, s).otherwise(F.trim(t))
 
 
@@ -36,7 +37,8 @@ def normalize_plain(s: Column) -> Column:
 
 
 def tokenize(s: Column) -> Column:
-    return F.filter(F.split(F.trim(s), r"\s+"), lambda x: x != "")
+    """Words between white space of any kind, no-break spaces too."""
+    return F.filter(F.split(s, r"(?U)\s+"), lambda x: x != "")
 
 
 def strip_fill(s: Column) -> Column:
@@ -49,7 +51,7 @@ def is_blank_or_glyph(s: Column) -> Column:
 
 def is_ink(s: Column) -> Column:
     """A guard's ink: no check glyph, no underscore, no white space."""
-    return ~s.isin(*CHECK_GLYPHS, "_") & (F.trim(s) != "")
+    return ~s.isin(*CHECK_GLYPHS, "_") & s.rlike(r"(?U)\S")
 
 
 def is_mask(s: Column) -> Column:
@@ -69,13 +71,19 @@ def type_family(t: Column) -> Column:
     return F.when(t.isin("text", "multiline", "choice"), "text").otherwise(t)
 
 
+#: Words before or in a label that ask for an identifier, whose digits aren't a count.
+_IDENTIFIER = r"\b(?:phone|fax|account|bank|transit|insurance|licen[cs]e|passport|policy|serial|card|file|case|permit|route|postal|zip)\b|#"
+
+
 def field_kind(label: Column) -> Column:
-    """date, month, integer or null, from the words of a label."""
+    """date, month, integer or null, from the words of a label: a mask that has a day tells a date, one of month and year a month; then counts, then words for dates."""
     low = F.lower(label)
+    day = r"\b(?:dd?[/.\-]mm?|mm?[/.\-]dd?)[/.\-](?:yyyy|ccyy|yy)\b|\b(?:yyyy|ccyy)[/.\-]mm?[/.\-]dd?\b"
     return (
-        F.when(low.rlike(r"\b(month|mm/yyyy|mm/yy)\b"), "month")
-        .when(low.rlike(r"\b(date|dob|dd/mm/yyyy|mm/dd/yyyy|birthday)\b"), "date")
-        .when(low.rlike(r"\b(number of|no\. of|how many|count|quantity|qty|age)\b"), "integer")
+        F.when(low.rlike(day), "date")
+        .when(low.rlike(r"\bmm?[/.\-](?:yyyy|ccyy|yy)\b|\bmonth\b"), "month")
+        .when(low.rlike(r"\b(?:age|how many|count|quantity|qty|number of|no\. of)\b") & ~low.rlike(_IDENTIFIER), "integer")
+        .when(low.rlike(r"\b(?:dates?|dob|birthday)\b"), "date")
     )
 
 

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.operators.ordered import PAGE, cluster_columns, comb_runs, islands, merge_rules
+from quillspan.operators.ordered import PAGE, column_members, comb_runs, islands, merge_rules
 from quillspan.sources.scratch import written
 
 # Geometry of the rules in points, and the wording of parts that the office fills in.
@@ -86,14 +86,14 @@ def grid_cells(rects: DataFrame, words: DataFrame | None = None) -> DataFrame:
     a, b = rows.alias("a"), rows.alias("b")
     under = a.where("n > 1").join(b, _on("a", "b") & (F.col("b.top") > F.col("a.top") + 4)).groupBy(*[F.col(f"a.{c}").alias(c) for c in (*PAGE, "top", "lo", "hi")]).agg(F.min_by(F.struct("b.top", "b.n", "b.lo", "b.hi"), "b.top").alias("b"))
     whole = under.where((F.col("b.n") == 1) & (F.col("b.lo") <= F.col("lo") + 3) & (F.col("b.hi") >= F.col("hi") - 3))
-    wide = whole.select(*PAGE, F.round("lo", 1).alias("x0"), "top", F.round("hi", 1).alias("x1"), F.col("b.top").alias("bottom"))
+    wide = whole.select(*PAGE, F.bround("lo", 1).alias("x0"), "top", F.bround("hi", 1).alias("x1"), F.col("b.top").alias("bottom"))
     a, b = h.join(whole.select(*PAGE, "top"), [*PAGE, "top"], "left_anti").alias("a"), h.alias("b")
     close = _on("a", "b") & (F.col("b.top") > F.col("a.top") + 4) & (F.col("b.x0") < F.col("a.x1") - 4) & (F.col("b.x1") > F.col("a.x0") + 4)
     bands = a.join(b, close).groupBy(*[F.col(f"a.{c}").alias(c) for c in (*PAGE, "x0", "x1", "top")]).agg(F.min("b.top").alias("bottom"))
     a, s = bands.alias("a"), v.alias("s")
     across = _on("a", "s") & (F.col("s.top") <= F.col("a.top") + 3) & (F.col("s.bottom") >= F.col("a.bottom") - 3) & F.col("s.x0").between(F.col("a.x0") - 2, F.col("a.x1") + 2)
-    cut = a.join(s, across, "left").groupBy(*[F.col(f"a.{c}").alias(c) for c in (*PAGE, *BOX)]).agg(F.collect_set(F.round("s.x0", 1)).alias("xs"))
-    edges = F.array_sort(F.array_distinct(F.concat(F.array(F.round("x0", 1), F.round("x1", 1)), F.col("xs"))))
+    cut = a.join(s, across, "left").groupBy(*[F.col(f"a.{c}").alias(c) for c in (*PAGE, *BOX)]).agg(F.collect_set(F.bround("s.x0", 1)).alias("xs"))
+    edges = F.array_sort(F.array_distinct(F.concat(F.array(F.bround("x0", 1), F.bround("x1", 1)), F.col("xs"))))
     e = cut.withColumn("e", edges).select(*PAGE, "top", "bottom", F.explode(F.arrays_zip(F.expr("slice(e, 1, size(e) - 1)").alias("l"), F.expr("slice(e, 2, size(e) - 1)").alias("r"))).alias("z"))
     narrow = e.select(*PAGE, F.col("z.l").alias("x0"), "top", F.col("z.r").alias("x1"), "bottom")
     cells = narrow.unionByName(wide).where((F.col("x1") - F.col("x0") > CELL_WIDTH) & (F.col("bottom") - F.col("top") > CELL_HEIGHT)).distinct()
@@ -158,9 +158,7 @@ def inherited(f: DataFrame, claimed: DataFrame) -> DataFrame:
 
     Columns are folded from top to bottom. Two rows that agree within PITCH set the pitch. Of a run of blank cells the first stands for all.
     """
-    columns = cluster_columns(f, COLUMN_TOL).select(*PAGE, F.col("column"), F.col("x0").alias("mean"))
-    a, b = f.alias("a"), columns.alias("b")
-    nearest = a.join(b, _on("a", "b")).groupBy(*[F.col(f"a.{c}").alias(c) for c in CELL]).agg(F.min_by("b.column", F.struct(F.abs(F.col("a.x0") - F.col("b.mean")), F.col("b.column"))).alias("column"))
+    nearest = column_members(f, COLUMN_TOL)
     g = f.join(nearest, CELL).join(claimed.select(*CELL).distinct().withColumn("taken", F.lit(True)), CELL, "left").withColumns({"label": F.expr(text_of("ws")), "h": F.col("bottom") - F.col("top")})
     tops = "array_sort(array_distinct(transform(ws, w -> w.top)))"
     spread = f"aggregate({tops}, named_struct('last', cast(null as double), 'gap', 0D), (a, t) -> CASE WHEN a.last IS NULL THEN named_struct('last', t, 'gap', a.gap) WHEN t - a.last > 3 THEN named_struct('last', t, 'gap', greatest(a.gap, t - a.last)) ELSE a END).gap"
@@ -192,9 +190,9 @@ def instructions(f: DataFrame) -> DataFrame:
     a, b = f.alias("a"), f.select(*CELL, *BOX).alias("b")
     smaller = (F.col("b.x1") - F.col("b.x0")) * (F.col("b.bottom") - F.col("b.top")) < (F.col("a.x1") - F.col("a.x0")) * (F.col("a.bottom") - F.col("a.top"))
     g = a.where(f"NOT blank AND bottom - top BETWEEN 70 AND 350 AND x1 - x0 >= 0.55 * W").alias("a").join(b, _on("a", "b") & _inside("b", "a") & smaller, "left_anti")
-    tops = "array_sort(array_distinct(transform(ws, w -> round(w.top, 1))))"
+    tops = "array_sort(array_distinct(transform(ws, w -> bround(w.top, 1))))"
     g = g.withColumn("tops", F.expr(tops)).where(f"size(tops) <= {LINES_MOST} AND forall(sequence(1, size(tops)), i -> i = 1 OR tops[i - 1] - tops[i - 2] <= {LINES_GAP})")
-    g = g.withColumns({"label": F.expr(f"array_join(transform(tops, t -> {text_of('filter(ws, w -> round(w.top, 1) = t)')}), ' ')"), "entry": F.expr("array_max(transform(ws, w -> w.bottom)) + 1")})
+    g = g.withColumns({"label": F.expr(f"array_join(transform(tops, t -> {text_of('filter(ws, w -> bround(w.top, 1) = t)')}), ' ')"), "entry": F.expr("array_max(transform(ws, w -> w.bottom)) + 1")})
     g = g.where(f"length(label) BETWEEN 2 AND {INSTRUCTION_LABEL} AND bottom - entry >= {INSTRUCTION_BLANK}").where(~F.col("label").rlike(OFFICE_USE))
     return _field(g, "R12", "label", "x0 + 2", "bottom - 2", "ext - 2", "entry + 2", "multiline")
 

@@ -4,50 +4,120 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as X
-from quillspan.operators.cells import FIELD, ruled_fields
-from quillspan.operators.ordered import PAGE, islands
+from quillspan.operators.cells import FIELD, OFFICE_USE, SIGNATURE, cut, ruled_fields
+from quillspan.operators.ordered import PAGE, cluster_lines, gap_threshold, islands
 from quillspan.sources.scratch import written
 
 # Geometry of the rules in points.
 RUN_TOP, RUN_GAP, RUN_WIDTH, LABEL_REACH = 1.5, 2, 12, 240
-SQUARE_LEAST, SQUARE_MOST, SQUARE_SLACK, CAPTION_GAP = 18, 32, 8, 11
+SHORT_RUN, SHORT_GAP, RUN_LEVEL = 25, 4, 6
+SQUARE_LEAST, CURVE_LEAST, SQUARE_MOST, SQUARE_SLACK, CAPTION_GAP = 18, 14, 32, 8, 11
+SQUARE_TRIM, SQUARE_CLAIMED, SIBLING_SIZE, SIBLING_TOP, SIBLING_SPOT = 8, 0.3, 4, 25, 3
 GLYPH_LINE, GLYPH_WRAP, GLYPH_WRAPS, QUESTION_GAP, GLYPH_LABEL = 2, 14, 3, 60, 90
 INK_MOST, INK_PAST, CORNER = 0.25, 2, 6
+# Words after which a short run of underscores is no field.
+STOP_WORDS = (
+    "this", "that", "these", "those", "the", "a", "an", "of", "on",
+    "in", "at", "and", "or", "is", "are", "was", "were", "to", "for",
+    "by", "with", "as", "it", "its", "be",
+)
+#: Rules in the order in which they emit fields.
+EMISSION = ("R1", "R2", "R3", "R12", "R14", "R16", "R17", "R10", "R4", "R5", "R5b", "R11", "R18")
 
 
-def underscore_fields(chars: DataFrame, words: DataFrame, pages: DataFrame) -> DataFrame:
-    """A run of underscores at least 12 wide is a text field; its label is the last six words before it on the line, within reach."""
+def underscore_fields(chars: DataFrame, words: DataFrame, pages: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
+    """A run of underscores at least 12 wide is a text field, named by the last six words before it on its line, within reach and up to the gutter.
+
+    A run under 25 wide must follow close on a word of two letters or more that is no stop word. thresholds: doc_id, page, threshold (10 where a page has none).
+    """
     u = chars.where("text = '_'").withColumn("row", F.bround("top"))
     w = Window.partitionBy(*PAGE).orderBy("row", "x0")
     breaks = ~((F.abs(F.col("top") - F.lag("top").over(w)) < RUN_TOP) & (F.col("x0") - F.lag("x1").over(w) < RUN_GAP))
-    runs = islands(u, PAGE, ["row", "x0"], breaks).groupBy(*PAGE, "run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("top").alias("top"), F.max("bottom").alias("bottom")).where(F.col("x1") - F.col("x0") >= RUN_WIDTH)
-    r, k = runs.alias("r"), words.where("text not rlike '^_+$'").alias("k")
-    on = (F.col("r.doc_id") == F.col("k.doc_id")) & (F.col("r.page") == F.col("k.page")) & (F.abs(F.col("k.top") - F.col("r.top")) < 4) & (F.col("k.x1") <= F.col("r.x0") + 1) & (F.col("k.x1") >= F.col("r.x0") - LABEL_REACH)
-    near = r.join(k, on, "left").groupBy(*[F.col(f"r.{c}").alias(c) for c in (*PAGE, "run", "x0", "x1", "top", "bottom")]).agg(F.sort_array(F.collect_list(F.when(F.col("k.text").isNotNull(), F.struct(F.col("k.x0").alias("x"), F.col("k.text").alias("t"))))).alias("ws"))
-    words6 = F.transform(F.slice(F.col("ws"), F.greatest(F.size("ws") - 5, F.lit(1)), 6), lambda x: x["t"])
-    label = F.coalesce(F.nullif(X.strip_fill(F.regexp_replace(F.array_join(words6, " "), ":$", "")), F.lit("")), F.lit("line"))
-    return near.join(pages, PAGE).select(*PAGE, F.lit("text").alias("type"), (F.col("x0") + 1).alias("x0"), (F.col("height") - F.col("bottom") + 1).alias("y0"), (F.col("x1") - 1).alias("x1"), (F.col("height") - F.col("top") + 11).alias("y1"), label.alias("label"), F.lit("R5").alias("rule"), F.lit(0.65).alias("confidence"))
-
-
-def square_fields(rects: DataFrame, words: DataFrame, pages: DataFrame) -> DataFrame:
-    """A filled square without a stroke is a check box if words follow it on its line; the innermost of nested squares counts."""
+    runs = islands(u, PAGE, ["row", "x0"], breaks).groupBy(*PAGE, "run").agg(
+        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min_by("top", "x0").alias("top"), F.min_by("bottom", "x0").alias("bottom")
+    ).where(F.col("x1") - F.col("x0") >= RUN_WIDTH)
+    r, k = runs.alias("r"), words.alias("k")
+    level = F.abs(F.col("k.bottom") - F.col("r.bottom")) < RUN_LEVEL
+    reach = (F.col("k.x1") <= F.col("r.x0") + 2) & (F.col("k.x1") > F.col("r.x0") - LABEL_REACH)
+    on = (F.col("r.doc_id") == F.col("k.doc_id")) & (F.col("r.page") == F.col("k.page")) & level & reach
+    word = F.struct(F.col("k.x0").cast("double").alias("x0"), F.col("k.x1").cast("double").alias("x1"), F.col("k.text").alias("text"))
+    near = r.join(k, on, "left").groupBy(*[F.col(f"r.{c}").alias(c) for c in (*PAGE, "run", "x0", "x1", "top", "bottom")])
+    near = near.agg(F.sort_array(F.collect_list(F.when(F.col("k.text").isNotNull(), word))).alias("ws"))
+    limit = thresholds if thresholds is not None else pages.select(*PAGE, F.lit(10.0).alias("threshold"))
+    near = near.join(limit, PAGE, "left").withColumn("threshold", F.coalesce("threshold", F.lit(10.0))).withColumn("last", F.try_element_at("ws", F.lit(-1)))
+    bare = F.lower(F.regexp_replace("last.text", "^[.,:;?!'\"()]+|[.,:;?!'\"()]+$", ""))
+    letters = F.length(F.regexp_replace("last.text", r"\P{L}", "")) >= 2
+    follows = F.col("last").isNotNull() & (F.col("x0") - F.col("last.x1") <= SHORT_GAP) & F.col("last.text").rlike("[A-Za-z]") & letters & ~bare.isin(*STOP_WORDS)
+    near = near.where((F.col("x1") - F.col("x0") >= SHORT_RUN) | F.coalesce(follows, F.lit(False)))
+    kept = F.slice(F.reverse(F.split(F.expr(cut("ws", "last")), " ")), 1, 6)
+    filled = F.filter(F.transform(F.reverse(kept), X.strip_fill), lambda t: t != "")
+    label = F.coalesce(F.nullif(F.substring(F.array_join(filled, " "), 1, 60), F.lit("")), F.lit("line"))
+    return near.join(pages, PAGE).select(
+        *PAGE, F.lit("text").alias("type"), (F.col("x0") + 1).alias("x0"), (F.col("height") - F.col("bottom") + 1).alias("y0"), (F.col("x1") - 1).alias("x1"),
+        (F.col("height") - F.col("top") + 11).alias("y1"), label.alias("label"), F.lit("R5").alias("rule"), F.lit(0.65).alias("confidence"),
+    )
+
+
+def _same_page(a: str, b: str) -> Column:
+    return (F.col(f"{a}.doc_id") == F.col(f"{b}.doc_id")) & (F.col(f"{a}.page") == F.col(f"{b}.page"))
+
+
+def _squares(shapes: DataFrame, least: float) -> DataFrame:
     w, h = F.col("x1") - F.col("x0"), F.col("bottom") - F.col("top")
-    sq = rects.where("fill and not stroke").where(w.between(SQUARE_LEAST, SQUARE_MOST) & h.between(SQUARE_LEAST, SQUARE_MOST) & (F.abs(w - h) <= SQUARE_SLACK))
-    a, b = sq.alias("a"), sq.alias("b")
-    inner = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page") == F.col("b.page")) & (F.col("a.rect_ix") != F.col("b.rect_ix")) & (F.col("b.x0") >= F.col("a.x0") - 1) & (F.col("b.x1") <= F.col("a.x1") + 1) & (F.col("b.top") >= F.col("a.top") - 1) & (F.col("b.bottom") <= F.col("a.bottom") + 1)
-    r, k = a.join(b, inner, "left_anti").alias("r"), words.alias("k")
-    mid = (F.col("r.top") + F.col("r.bottom")) / 2
-    on = (F.col("r.doc_id") == F.col("k.doc_id")) & (F.col("r.page") == F.col("k.page")) & (F.col("k.top") < mid) & (F.col("k.bottom") > mid) & (F.col("k.x0") >= F.col("r.x1"))
-    follow = r.join(k, on).select(*[F.col(f"r.{c}").alias(c) for c in (*PAGE, "rect_ix", "x0", "x1", "top", "bottom")], F.col("k.x0").alias("kx0"), F.col("k.x1").alias("kx1"), F.col("k.text").alias("t"))
-    o = Window.partitionBy(*PAGE, "rect_ix").orderBy("kx0")
-    gap = F.col("kx0") - F.coalesce(F.lag("kx1").over(o), F.col("x1"))
-    held = follow.withColumn("gap", gap).withColumn("far", F.sum((F.col("gap") > CAPTION_GAP).cast("int")).over(o.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    label = held.where("far = 0").groupBy(*PAGE, "rect_ix", "x0", "x1", "top", "bottom").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("kx0", "t"))), lambda x: x["t"]), " ").alias("label"))
-    return label.where(F.length("label").between(2, 60)).join(pages, PAGE).select(*PAGE, F.lit("checkbox").alias("type"), "x0", (F.col("height") - F.col("bottom")).alias("y0"), "x1", (F.col("height") - F.col("top")).alias("y1"), "label", F.lit("R18").alias("rule"), F.lit(0.5).alias("confidence"))
+    ok = w.between(least, SQUARE_MOST) & h.between(least, SQUARE_MOST) & (F.abs(w - h) <= SQUARE_SLACK)
+    return shapes.where("fill and not stroke").where(ok).select(*PAGE, "rect_ix", *[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "top", "bottom")])
+
+
+def square_fields(rects: DataFrame, words: DataFrame, pages: DataFrame, curves: DataFrame | None = None, earlier: DataFrame | None = None) -> DataFrame:
+    """A filled square without a stroke is a check box if words follow it on its line.
+
+    curves (as rect_like_curves gives them) may be smaller, but need another of their size near by. Of nested squares the inner counts, of equal ones both. A square
+    goes where earlier fields (doc_id, page, x0, y0, x1, y1) cover three tenths of it, or where words lie in its midst; those near its upper or lower edge don't
+    matter. Its caption begins at any distance, goes on while gaps are small, and ends before the next square on the line.
+    """
+    cand = _squares(rects, SQUARE_LEAST).withColumn("kind", F.lit(0))
+    if curves is not None:
+        c = _squares(curves, CURVE_LEAST)
+        size = lambda p, a, b: F.col(f"{p}.{b}") - F.col(f"{p}.{a}")
+        alike = (F.abs(size("a", "x0", "x1") - size("b", "x0", "x1")) <= SIBLING_SIZE) & (F.abs(size("a", "top", "bottom") - size("b", "top", "bottom")) <= SIBLING_SIZE)
+        near = F.abs(F.col("a.top") - F.col("b.top")) <= SIBLING_TOP
+        apart = (F.abs(F.col("a.x0") - F.col("b.x0")) > SIBLING_SPOT) | (F.abs(F.col("a.top") - F.col("b.top")) > SIBLING_SPOT)
+        kin = c.alias("a").join(c.alias("b"), _same_page("a", "b") & (F.col("a.rect_ix") != F.col("b.rect_ix")) & alike & near & apart, "left_semi")
+        cand = cand.unionByName(kin.withColumn("kind", F.lit(1)))
+    a, b = cand.alias("a"), cand.alias("b")
+    area = lambda p: (F.col(f"{p}.x1") - F.col(f"{p}.x0")) * (F.col(f"{p}.bottom") - F.col(f"{p}.top"))
+    holds = (F.col("b.x0") >= F.col("a.x0") - 1) & (F.col("b.x1") <= F.col("a.x1") + 1) & (F.col("b.top") >= F.col("a.top") - 1) & (F.col("b.bottom") <= F.col("a.bottom") + 1)
+    inner = a.join(b, _same_page("a", "b") & holds & (area("a") > area("b") + 1), "left_anti")
+    inner = inner.join(pages.select(*PAGE, F.col("height").alias("H")), PAGE)
+    r, k = inner.alias("r"), words.alias("k")
+    mid = lambda p: (F.col(f"{p}.top") + F.col(f"{p}.bottom")) / 2
+    upper, lower = F.col("k.top") - F.col("r.top"), F.col("r.bottom") - F.col("k.bottom")
+    over = (F.col("k.x1") > F.col("r.x0")) & (F.col("k.x0") < F.col("r.x1")) & (F.col("k.bottom") > F.col("r.top")) & (F.col("k.top") < F.col("r.bottom"))
+    at_edge = ((upper <= SQUARE_TRIM) & (upper <= lower)) | (lower <= SQUARE_TRIM)
+    open_ = r.join(k, _same_page("r", "k") & over & F.col("k.text").rlike("[A-Za-z]") & ~at_edge, "left_anti")
+    if earlier is not None:
+        e, o = earlier.alias("e"), open_.alias("r")
+        w = F.least("e.x1", "r.x1") - F.greatest("e.x0", "r.x0")
+        h = F.least(F.col("e.y1"), F.col("r.H") - F.col("r.top")) - F.greatest(F.col("e.y0"), F.col("r.H") - F.col("r.bottom"))
+        open_ = o.join(e, _same_page("r", "e") & (w > 0) & (h > 0) & (w * h >= SQUARE_CLAIMED * area("r")), "left_anti")
+    o, n = open_.alias("r"), inner.alias("n")
+    beside = _same_page("r", "n") & (F.col("n.x0") > F.col("r.x1")) & (F.abs(mid("n") - mid("r")) < GLYPH_LINE)
+    key = [*PAGE, "kind", "rect_ix", "x0", "x1", "top", "bottom", "H"]
+    bound = o.join(n, beside, "left").groupBy(*[F.col(f"r.{c}").alias(c) for c in key]).agg(F.min("n.x0").alias("next")).alias("r")
+    on = _same_page("r", "k") & (F.abs(mid("k") - mid("r")) < GLYPH_LINE) & (F.col("k.x0") >= F.col("r.x1")) & (F.col("r.next").isNull() | (F.col("k.x1") <= F.col("r.next") + 1))
+    line = F.sort_array(F.collect_list(F.struct(F.col("k.x0").cast("double").alias("x0"), F.col("k.x1").cast("double").alias("x1"), F.col("k.text").alias("text"))))
+    told = bound.join(words.alias("k"), on).groupBy(*[F.col(f"r.{c}").alias(c) for c in key]).agg(line.alias("line"))
+    text = F.rtrim(F.regexp_replace(F.expr(f"array_join({_picked('line', 'x1', 1e9, True)}, ' ')"), ":+$", ""))
+    told = told.withColumn("label", F.trim(text))
+    good = F.length("label").between(2, 60) & F.col("label").rlike("[A-Za-z]") & ~F.col("label").rlike(OFFICE_USE) & ~F.col("label").rlike("[.?]$")
+    return told.where(good).select(
+        *PAGE, F.lit("checkbox").alias("type"), "x0", (F.col("H") - F.col("bottom")).alias("y0"), "x1", (F.col("H") - F.col("top")).alias("y1"), "label",
+        F.lit("R18").alias("rule"), F.lit(0.5).alias("confidence"),
+    )
 
 
 def _picked(seq: str, start: str, first: str | int, rightwards: bool) -> str:
@@ -114,21 +184,51 @@ def rect_like_curves(curves: DataFrame) -> DataFrame:
 
 
 def number_fields(fields: DataFrame) -> DataFrame:
-    """Adds id: p<page>_<slug>, with _2, _3 for repeats in emission order; labels lose dot leaders, an empty text label becomes 'value'."""
-    label = X.strip_leaders(F.col("label"))
-    f = fields.withColumn("label", F.when((F.col("type") != "checkbox") & (label == ""), "value").otherwise(label))
-    base = F.concat(F.lit("p"), F.col("page"), F.lit("_"), X.slug(F.col("label")))
-    k = F.row_number().over(Window.partitionBy("doc_id", "base").orderBy("page", "rule", "y1", "x0"))
+    """Adds id: p<page>_<slug> for text fields, p<page>_chk for all others, with _2, _3 for repeats in the order of emission: by page, rule, and from the page's top left.
+
+    Labels lose dot leaders; an empty label of a text field becomes 'value'.
+    """
+    label = X.strip_leaders(F.coalesce("label", F.lit("")))
+    f = fields.withColumn("label", F.when((F.col("type") == "text") & (label == ""), "value").otherwise(label))
+    base = F.concat(F.lit("p"), F.col("page"), F.lit("_"), F.when(F.col("type") == "text", X.slug(F.col("label"))).otherwise("chk"))
+    order = F.array_position(F.array(*map(F.lit, EMISSION)), F.col("rule"))
+    k = F.row_number().over(Window.partitionBy("doc_id", "base").orderBy("page", order, F.desc("y1"), "x0", "x1"))
     return f.withColumn("base", base).withColumn("k", k).withColumn("id", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), "k"))).drop("base", "k")
 
 
+def group_yes_no(fields: DataFrame) -> DataFrame:
+    """Adds group: grp_1, grp_2, ... for the check boxes of one question of a page whose options are yes and no, once each; numbered by their first field's emission."""
+    order = F.array_position(F.array(*map(F.lit, EMISSION)), F.col("rule"))
+    at = F.struct("page", order.alias("o"), (-F.col("y1")).alias("y"), "x0", "id")
+    o = fields.where("type = 'checkbox'").select("doc_id", "page", "id", at.alias("at"), F.trim(X.prompt_of(F.col("label"))).alias("prompt"), F.lower(F.trim(X.option_of(F.col("label")))).alias("option"))
+    o = o.where("option IN ('yes', 'no')")
+    pairs = o.groupBy("doc_id", "page", "prompt").agg(F.sort_array(F.collect_list("option")).alias("options"), F.min("at").alias("first"), F.collect_list("id").alias("ids"))
+    pairs = pairs.where(F.col("options") == F.array(F.lit("no"), F.lit("yes")))
+    named = pairs.withColumn("group", F.concat(F.lit("grp_"), F.row_number().over(Window.partitionBy("doc_id").orderBy("first"))))
+    return fields.join(named.select("doc_id", F.explode("ids").alias("id"), "group"), ["doc_id", "id"], "left")
+
+
+def notices(pages: DataFrame, fields: DataFrame, scanned: DataFrame, read: DataFrame) -> DataFrame:
+    """doc_id, code: 'scanned' where half of the pages or more are scans that nothing was read from, else 'ocr_assisted' where a page was read, else 'no_fields' where
+    there are none, else null. scanned and read: doc_id, page."""
+    lost = scanned.select(*PAGE).distinct().join(read.select(*PAGE).distinct(), PAGE, "left_anti").groupBy("doc_id").agg(F.count("*").alias("lost"))
+    helped = read.select("doc_id").distinct().withColumn("helped", F.lit(True))
+    some = fields.select("doc_id").distinct().withColumn("some", F.lit(True))
+    d = pages.groupBy("doc_id").agg(F.countDistinct("page").alias("n")).join(lost, "doc_id", "left").join(helped, "doc_id", "left").join(some, "doc_id", "left")
+    code = F.when(2 * F.coalesce("lost", F.lit(0)) >= F.col("n"), "scanned").when(F.col("helped"), "ocr_assisted").when(F.col("some").isNull(), "no_fields")
+    return d.select("doc_id", code.alias("code"))
+
+
 def drop_signatures(fields: DataFrame) -> DataFrame:
     """Other than check boxes, fields labelled for a signature go."""
-    return fields.where((F.col("type") == "checkbox") | ~F.col("label").rlike(r"(?i)signatur|\bsigned\b"))
+    return fields.where((F.col("type") == "checkbox") | ~F.col("label").rlike(SIGNATURE))
 
 
-def detect(chars: DataFrame, words: DataFrame, rects: DataFrame, pages: DataFrame) -> DataFrame:
-    """All rules, then R8 and R9, then ids. What the rules found is written once, since the filters read it more than once."""
-    found = [glyph_fields(chars, words, pages), underscore_fields(chars, words, pages), square_fields(rects, words, pages), ruled_fields(chars, words, rects, pages)]
-    fields = written(reduce(DataFrame.unionByName, [f.select(*FIELD) for f in found]), "fields")
-    return number_fields(drop_inked(drop_signatures(fields), chars, pages))
+def detect(chars: DataFrame, words: DataFrame, rects: DataFrame, pages: DataFrame, curves: DataFrame | None = None) -> DataFrame:
+    """All rules, then R8 and R9, then ids and groups of yes and no. What the rules found is written once, since the filters read it more than once."""
+    thresholds = written(gap_threshold(cluster_lines(words).drop("line_no").withColumnRenamed("line", "line_no")), "thresholds")
+    first = [glyph_fields(chars, words, pages), underscore_fields(chars, words, pages, thresholds), ruled_fields(chars, words, rects, pages, thresholds)]
+    found = written(reduce(DataFrame.unionByName, [f.select(*FIELD) for f in first]), "fields")
+    shapes = None if curves is None else rect_like_curves(curves)
+    squares = written(square_fields(rects, words, pages, shapes, found).select(*FIELD), "squares")
+    return group_yes_no(number_fields(drop_inked(drop_signatures(found.unionByName(squares)), chars, pages)))

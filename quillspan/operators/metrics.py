@@ -9,24 +9,28 @@ from quillspan.functions.text import normalize_label
 from quillspan.operators.matching import match_greedy, near_misses
 
 MEASURES = ["truth", "detected", "matched", "iou_micro", "near_miss", "label_pairs", "label_agree"]
+#: Label pairs of check boxes, which count by rule alone: elsewhere they would only tell how many check boxes there are.
+_BOXES = ["box_pairs", "box_agree"]
 
 
 def measures(det: DataFrame, truth: DataFrame) -> DataFrame:
     """One row for each thing counted, keyed by split, family, document and rule: truth and misses under the truth's rule, detections and matches under their own."""
     m = match_greedy(det, truth)
-    zero = {k: F.lit(0).cast("long") for k in MEASURES}
+    every = [*MEASURES, *_BOXES]
+    zero = {k: F.lit(0).cast("long") for k in every}
     dims = ["split", "family", "doc_id", "rule"]
-    row = lambda df, **k: df.select(*dims, *[k.get(n, zero[n]).cast("long").alias(n) for n in MEASURES])
+    row = lambda df, **k: df.select(*dims, *[k.get(n, zero[n]).cast("long").alias(n) for n in every])
     t, d = truth.alias("t"), det.alias("d")
     paired = m.alias("m").join(d, ["doc_id", "di"]).select("doc_id", "ti", "iou", "d.split", "d.family", "d.rule", "d.type", "d.label").join(truth.select("doc_id", "ti", F.col("label").alias("truth_label")), ["doc_id", "ti"])
-    labelled = (F.col("type") != "checkbox") & F.col("truth_label").isNotNull()
-    agree = labelled & (normalize_label(F.col("label")) == normalize_label(F.col("truth_label")))
+    pair, box = F.coalesce(F.col("truth_label") != "", F.lit(False)), F.col("type") == "checkbox"
+    same = pair & (normalize_label(F.coalesce("label", F.lit(""))) == normalize_label(F.col("truth_label")))
+    labels = {"label_pairs": pair & ~box, "label_agree": same & ~box, "box_pairs": pair & box, "box_agree": same & box}
     missed = near_misses(det, truth, m).join(t, ["doc_id", "ti"])
     one = F.lit(1)
     return (
         row(truth, truth=one)
         .unionByName(row(det, detected=one))
-        .unionByName(row(paired, matched=one, iou_micro=F.floor(F.col("iou") * 1_000_000), label_pairs=labelled.cast("int"), label_agree=agree.cast("int")))
+        .unionByName(row(paired, matched=one, iou_micro=F.floor(F.col("iou") * 1_000_000), **{k: v.cast("int") for k, v in labels.items()}))
         .unionByName(row(missed, near_miss=one))
     )
 
@@ -51,11 +55,14 @@ def finalise(buckets: DataFrame) -> DataFrame:
 
 def rollup(m: DataFrame, sets: dict[str, list[str]] | None = None) -> DataFrame:
     """scope, key, measures: overall by split, by rule, by family and by document in one pass of grouping sets."""
-    sums = ", ".join(f"sum({k}) AS {k}" for k in MEASURES)
+    with_boxes = {"label_pairs": "box_pairs", "label_agree": "box_agree"}
+    total = lambda k: f"sum({k}) + CASE WHEN grouping(rule) = 0 THEN sum({with_boxes[k]}) ELSE 0 END AS {k}" if k in with_boxes else f"sum({k}) AS {k}"
+    sums = ", ".join(map(total, MEASURES))
     scope = "CASE WHEN grouping(split) = 0 THEN 'split' WHEN grouping(rule) = 0 THEN 'rule' WHEN grouping(family) = 0 THEN 'family' ELSE 'form' END"
     key = "coalesce(split, rule, family, cast(doc_id AS string))"
     return m.sparkSession.sql(f"SELECT {scope} AS scope, {key} AS key, {sums} FROM {{m}} GROUP BY GROUPING SETS ((split), (rule), (family), (doc_id))", m=m)
 
 
 def by(m: DataFrame, *keys: str) -> DataFrame:
-    return finalise(m.groupBy(*keys).agg(*[F.sum(k).alias(k) for k in MEASURES]))
+    boxes = {"label_pairs": "box_pairs", "label_agree": "box_agree"} if "rule" in keys else {}
+    return finalise(m.groupBy(*keys).agg(*[(F.sum(k) + F.sum(boxes[k]) if k in boxes else F.sum(k)).alias(k) for k in MEASURES]))

@@ -68,6 +68,18 @@ def cluster_columns(cells: DataFrame, tol: float = 16) -> DataFrame:
     return xs.select(*PAGE, F.posexplode(F.expr(fold)).alias("column", "e")).select(*PAGE, F.col("column").cast("long").alias("column"), (F.col("e.s") / F.col("e.n")).alias("x0"), F.col("e.n").alias("n"))
 
 
+def column_members(cells: DataFrame, tol: float = 16) -> DataFrame:
+    """doc_id, page, cell, column: the column that took each cell when it came, in order of x0 and cell; the column's later mean doesn't matter."""
+    xs = cells.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(F.col("x0").cast("double").alias("x"), "cell"))).alias("xs"))
+    state = "cast(array() as array<struct<s:double,n:bigint>>)"
+    first = f"array_position(transform(acc.cols, e -> abs(x.x - e.s / e.n) <= {tol}D), true)"
+    grown = f"transform(acc.cols, (e, i) -> CASE WHEN i + 1 = {first} THEN named_struct('s', e.s + x.x, 'n', e.n + 1) ELSE e END)"
+    cols = f"CASE WHEN {first} = 0 THEN array_append(acc.cols, named_struct('s', x.x, 'n', 1L)) ELSE {grown} END"
+    at = f"CASE WHEN {first} = 0 THEN cast(size(acc.cols) as bigint) ELSE {first} - 1 END"
+    fold = f"aggregate(xs, named_struct('cols', {state}, 'at', cast(array() as array<bigint>)), (acc, x) -> named_struct('cols', {cols}, 'at', array_append(acc.at, {at}))).at"
+    return xs.select(*PAGE, F.explode(F.arrays_zip("xs", F.expr(fold).alias("column"))).alias("z")).select(*PAGE, F.col("z.xs.cell").alias("cell"), F.col("z.column").alias("column"))
+
+
 def comb_runs(rects: DataFrame) -> DataFrame:
     """doc_id, page, x0, x1, ticks: ticks (width < 3, height 10 to 40) by x0 whose steps are 6 to 20 and within 3 of the one before, level within 1.5; at least six steps."""
     ticks = rects.where("width < 3 AND height BETWEEN 10 AND 40")

@@ -87,13 +87,23 @@ def match_unmatched(s, d):
 
 
 _NORM = r"replace(lower(trim(regexp_replace(regexp_replace(trim({0}), '(?:\s*:|\s*\([\sdmyDMY/\-]+\))+\s*$', ''), '\s+', ' ', 'g'))), 'ß', 'ss')"
-_MEASURES = _GREEDY + _NEAR + f""", paired AS (SELECT d.split, d.family, d.doc_id, d.rule, m.iou, CASE WHEN d.type <> 'checkbox' THEN 1 ELSE 0 END AS lp, CASE WHEN d.type <> 'checkbox' AND {_NORM.format('d.label')} = {_NORM.format('t.label')} THEN 1 ELSE 0 END AS la
+_MEASURES = _GREEDY + _NEAR + f""", paired AS (SELECT d.split, d.family, d.doc_id, d.rule, m.iou, CAST(d.type = 'checkbox' AS INT) AS box, CAST(coalesce(t.label, '') <> '' AS INT) AS lp,
+   CASE WHEN coalesce(t.label, '') <> '' AND {_NORM.format('d.label')} = {_NORM.format('t.label')} THEN 1 ELSE 0 END AS la
   FROM matched m JOIN v_det d ON m.doc_id = d.doc_id AND m.di = d.di JOIN v_truth t ON m.doc_id = t.doc_id AND m.ti = t.ti),
-ms AS (SELECT split, family, doc_id, rule, 1 AS truth, 0 AS detected, 0 AS matched, 0 AS iou_micro, 0 AS near_miss, 0 AS label_pairs, 0 AS label_agree FROM v_truth
- UNION ALL SELECT split, family, doc_id, rule, 0, 1, 0, 0, 0, 0, 0 FROM v_det
- UNION ALL SELECT split, family, doc_id, rule, 0, 0, 1, CAST(floor(iou * 1000000) AS BIGINT), 0, lp, la FROM paired
- UNION ALL SELECT t.split, t.family, t.doc_id, t.rule, 0, 0, 0, 0, 1, 0, 0 FROM near n JOIN v_truth t ON n.doc_id = t.doc_id AND n.ti = t.ti)"""
-_SUMS = ", ".join(f"CAST(sum({k}) AS BIGINT) AS {k}" for k in metrics.MEASURES)
+ms AS (SELECT split, family, doc_id, rule, 1 AS truth, 0 AS detected, 0 AS matched, 0 AS iou_micro, 0 AS near_miss, 0 AS lp, 0 AS la, 0 AS box FROM v_truth
+ UNION ALL SELECT split, family, doc_id, rule, 0, 1, 0, 0, 0, 0, 0, 0 FROM v_det
+ UNION ALL SELECT split, family, doc_id, rule, 0, 0, 1, CAST(floor(iou * 1000000) AS BIGINT), 0, lp, la, box FROM paired
+ UNION ALL SELECT t.split, t.family, t.doc_id, t.rule, 0, 0, 0, 0, 1, 0, 0, 0 FROM near n JOIN v_truth t ON n.doc_id = t.doc_id AND n.ti = t.ti)"""
+
+
+def _sums(boxes: str) -> str:
+    """Sums of all measures; label pairs of check boxes count only where the condition holds."""
+    label = lambda n, k: f"CAST(sum(CASE WHEN box = 0 OR {boxes} THEN {k} ELSE 0 END) AS BIGINT) AS {n}"
+    plain = [f"CAST(sum({k}) AS BIGINT) AS {k}" for k in metrics.MEASURES if not k.startswith("label_")]
+    return ", ".join([*plain, label("label_pairs", "lp"), label("label_agree", "la")])
+
+
+_SUMS = _sums("false")
 _FINAL = """, f AS (SELECT *, CASE WHEN detected > 0 THEN least(1.0, CAST(matched AS DOUBLE) / detected) ELSE 0.0 END AS precision, CASE WHEN truth > 0 THEN least(1.0, CAST(matched AS DOUBLE) / truth) ELSE 0.0 END AS recall FROM b)
 SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1, CASE WHEN matched > 0 THEN CAST(iou_micro AS DOUBLE) / matched / 1000000 ELSE 0.0 END AS placement,
  matched <= truth AND matched <= detected AS attribution_ok, CASE WHEN label_pairs > 0 THEN CAST(label_agree AS DOUBLE) / label_pairs END AS label_accuracy FROM f"""
@@ -104,9 +114,11 @@ def _measured(s, d):
 
 
 for _name, _keys in (("score_per_rule", ["split", "rule"]), ("score_per_family", ["split", "family"]), ("score_per_form", ["split", "doc_id"]), ("score_overall", ["split"])):
-    query(_name, duck(_MEASURES + f", b AS (SELECT {', '.join(_keys)}, {_SUMS} FROM ms GROUP BY ALL)" + _FINAL, *_GO))(lambda s, d, k=_keys: metrics.by(_measured(s, d), *k))
+    query(_name, duck(_MEASURES + f", b AS (SELECT {', '.join(_keys)}, {_sums('true') if 'rule' in _keys else _SUMS} FROM ms GROUP BY ALL)" + _FINAL, *_GO))(lambda s, d, k=_keys: metrics.by(_measured(s, d), *k))
 
-query("score_rollup", duck(_MEASURES + f" SELECT CASE WHEN grouping(split) = 0 THEN 'split' WHEN grouping(rule) = 0 THEN 'rule' WHEN grouping(family) = 0 THEN 'family' ELSE 'form' END AS scope, coalesce(split, rule, family, CAST(doc_id AS VARCHAR)) AS key, {_SUMS} FROM ms GROUP BY GROUPING SETS ((split), (rule), (family), (doc_id))", *_GO))(lambda s, d: metrics.rollup(_measured(s, d)))
+_SCOPES = {"split": "split", "rule": "rule", "family": "family", "form": "CAST(doc_id AS VARCHAR)"}
+_ROLLUP = " UNION ALL ".join(f"SELECT '{n}' AS scope, {k} AS key, {_sums('true' if n == 'rule' else 'false')} FROM ms GROUP BY {k}" for n, k in _SCOPES.items())
+query("score_rollup", duck(_MEASURES + " " + _ROLLUP, *_GO))(lambda s, d: metrics.rollup(_measured(s, d)))
 query("worst_forms", duck(_MEASURES + f", b AS (SELECT doc_id, {_SUMS} FROM ms GROUP BY ALL)" + _FINAL + " ORDER BY f1, doc_id LIMIT 10", *_GO))(lambda s, d: metrics.by(_measured(s, d), "doc_id").orderBy("f1", "doc_id").limit(10))
 
 # Guards
@@ -123,23 +135,25 @@ _OV = "greatest(0, least(f.x1, r.x1) - greatest(f.x0, r.x0)) * greatest(0, least
 _F = f", f AS ({_MARK.replace('{v_det}', 'v_det')})"
 
 
-@query("box_over_ink", duck(_F + f", x AS (SELECT f.doc_id, f.di, (f.x1 - f.x0) * (f.bottom - f.top) AS a, coalesce(sum({_OV}), 0) AS o FROM f LEFT JOIN v_rects r ON r.stroke AND r.doc_id = f.doc_id AND r.page = f.page GROUP BY ALL) SELECT doc_id, di, least(1.0, CAST(o AS DOUBLE) / a) AS coverage, CAST(o AS DOUBLE) / a > 0.10 AS offender FROM x", "v_det", "v_rects"))
+@query("box_over_ink", duck(_F + f", x AS (SELECT f.doc_id, f.di, (f.x1 - f.x0) * (f.bottom - f.top) AS a, coalesce(sum({_OV}), 0) AS o FROM f LEFT JOIN v_rects r ON r.stroke AND r.doc_id = f.doc_id AND r.page = f.page GROUP BY ALL) SELECT doc_id, di, CASE WHEN a > 0 THEN least(1.0, CAST(o AS DOUBLE) / a) END AS coverage, a > 0 AND CAST(o AS DOUBLE) / nullif(a, 0) > 0.10 AS offender FROM x", "v_det", "v_rects"))
 def box_over_ink(s, d):
-    """Share of each field covered by ink on its page, at most 1; over a tenth is an offence."""
+    """Share of each field covered by ink on its page, at most 1; over a tenth is an offence. A field without area has no share and is none."""
     f, r = fields(s, d).alias("f"), V.rects(s, d).where("stroke").alias("r")
     a, b = rect("f", _TB), rect("r", _TB)
     o = overlap_area(a, b)
     x = f.join(r, (F.col("f.doc_id") == F.col("r.doc_id")) & (F.col("f.page") == F.col("r.page")), "left").groupBy("f.doc_id", "f.di", ((F.col("f.x1") - F.col("f.x0")) * (F.col("f.bottom") - F.col("f.top"))).alias("a")).agg(F.coalesce(F.sum(o), F.lit(0)).alias("o"))
-    c = F.col("o").cast("double") / F.col("a")
-    return x.select("doc_id", "di", F.least(F.lit(1.0), c).alias("coverage"), (c > 0.10).alias("offender"))
+    c = F.try_divide(F.col("o").cast("double"), F.when(F.col("a") > 0, F.col("a")))
+    return x.select("doc_id", "di", F.when(c.isNotNull(), F.least(F.lit(1.0), c)).alias("coverage"), F.coalesce(c > 0.10, F.lit(False)).alias("offender"))
 
 
-@query("glyph_coverage", duck(_F + f", g AS (SELECT r.doc_id, r.rect_ix, max(CASE WHEN CAST({_OV} AS DOUBLE) / nullif((f.x1 - f.x0) * (f.bottom - f.top) + r.width * r.height - {_OV}, 0) > 0.3 THEN 1 ELSE 0 END) AS hit FROM v_rects r LEFT JOIN f ON f.type = 'checkbox' AND r.doc_id = f.doc_id AND r.page = f.page WHERE r.fill GROUP BY ALL) SELECT doc_id, CAST(sum(hit) AS DOUBLE) / count(*) AS coverage, count(*) AS glyph_count FROM g GROUP BY doc_id", "v_det", "v_rects"))
+@query("glyph_coverage", duck(_F + f", g AS (SELECT r.doc_id, r.rect_ix, max(CASE WHEN CAST({_OV} AS DOUBLE) / nullif((f.x1 - f.x0) * (f.bottom - f.top) + r.width * r.height - {_OV}, 0) > 0.3 THEN 1 ELSE 0 END) AS hit FROM v_rects r LEFT JOIN f ON f.type = 'checkbox' AND r.doc_id = f.doc_id AND r.page = f.page WHERE r.fill GROUP BY ALL), c AS (SELECT doc_id, CAST(sum(hit) AS DOUBLE) / count(*) AS coverage, count(*) AS glyph_count FROM g GROUP BY doc_id) SELECT d.doc_id, coalesce(coverage, 1.0) AS coverage, coalesce(glyph_count, 0) AS glyph_count FROM (SELECT DISTINCT doc_id FROM v_rects) d LEFT JOIN c USING (doc_id)", "v_det", "v_rects"))
 def glyph_coverage(s, d):
+    """Share of a document's check glyphs that a check box covers; 1 where it has none."""
     r, f = V.rects(s, d).where("fill").alias("r"), fields(s, d).where("type = 'checkbox'").alias("f")
     on = (F.col("f.doc_id") == F.col("r.doc_id")) & (F.col("f.page") == F.col("r.page")) & (iou(rect("f", _TB), rect("r", _TB)) > 0.3)
     hit = r.join(f, on, "left").groupBy("r.doc_id", "r.rect_ix").agg(F.max(F.col("f.di").isNotNull().cast("int")).alias("hit"))
-    return hit.groupBy("doc_id").agg((F.sum("hit").cast("double") / F.count("*")).alias("coverage"), F.count("*").alias("glyph_count"))
+    c = hit.groupBy("doc_id").agg((F.sum("hit").cast("double") / F.count("*")).alias("coverage"), F.count("*").alias("glyph_count"))
+    return V.rects(s, d).select("doc_id").distinct().join(c, "doc_id", "left").select("doc_id", F.coalesce("coverage", F.lit(1.0)).alias("coverage"), F.coalesce("glyph_count", F.lit(0)).alias("glyph_count"))
 
 
 @query("whitespace_fit", duck(_F + """, x AS (SELECT a.doc_id, a.di, max(CASE WHEN b.di IS NOT NULL THEN 1 ELSE 0 END) AS stacked, max(CASE WHEN a.bottom - a.top < 13 OR a.x1 - a.x0 < 25 THEN 1 ELSE 0 END) AS small FROM f a LEFT JOIN f b ON a.doc_id = b.doc_id AND a.page = b.page AND a.di <> b.di
@@ -174,10 +188,6 @@ query("char_runs", duck(", b AS (SELECT *, CASE WHEN abs(top - lag(top) OVER w)
 _JIT = lambda s, d: V.rects(s, d).withColumns({"top": F.col("top") + F.col("rect_ix") % 4, "bottom": F.col("bottom") + F.col("rect_ix") % 4})
 _FOLD = ", t AS (SELECT doc_id, page, list_sort(list(DISTINCT CAST(top + rect_ix % 4 AS DOUBLE))) AS ts FROM v_rects GROUP BY ALL), a AS (SELECT doc_id, page, ts, list_reduce(list_transform(ts, lambda x: [x]), lambda acc, x: CASE WHEN x[1] - acc[len(acc)] <= 2.5 THEN acc ELSE list_concat(acc, x) END) AS an FROM t)"
 query("line_cluster", duck(_FOLD + " SELECT doc_id, page, CAST(len(an) AS BIGINT) AS lines, CAST(len(ts) AS BIGINT) AS tops FROM a", "v_rects"))(lambda s, d: ordered.cluster_lines(_JIT(s, d)).groupBy("doc_id", "page").agg(F.countDistinct("line").alias("lines"), F.countDistinct("top").alias("tops")))
-query("merge_rules")(lambda s, d: ordered.merge_rules(_JIT(s, d).where("height < 3 AND width >= 5")))
-query("column_cluster")(lambda s, d: ordered.cluster_columns(V.rects(s, d)))
-query("comb_runs")(lambda s, d: ordered.comb_runs(V.words(s, d).where("length(text) = 2").selectExpr("doc_id", "page", "x0", "x0 + 1 as x1", "top", "top + 12 as bottom", "1 as width", "12 as height")))
-query("unique_names")(lambda s, d: ordered.unique_names(V.det(s, d).select("doc_id", F.col("di").alias("ord"), X.slug(F.col("label")).alias("base"))))
 shared("reading_order", "SELECT doc_id, page, word_ix, line_no, row_number() OVER (PARTITION BY doc_id, page ORDER BY top, x0, word_ix) AS ordinal FROM {v_words} WHERE text <> ''", spark_sql="SELECT doc_id, page, word_ix, line_no, cast(row_number() OVER (PARTITION BY doc_id, page ORDER BY top, x0, word_ix) as bigint) AS ordinal FROM {v_words} WHERE text <> ''")
 
 # Geometry predicates and joins over ruling lines
@@ -187,35 +197,52 @@ shared("complexity_guard", "SELECT doc_id, page, n FROM (SELECT doc_id, page, co
 shared("nearest_below", "SELECT a.doc_id, a.rect_ix, min(b.top) AS below FROM {v_rects} a JOIN {v_rects} b ON a.doc_id = b.doc_id AND a.page = b.page AND a.height < 3 AND b.height < 3 AND b.top > a.top + 4 AND a.x0 + 4 < b.x1 AND a.x1 - 4 > b.x0 GROUP BY a.doc_id, a.rect_ix")
 shared("nearest_left", "SELECT a.doc_id, a.rect_ix, max(b.x1) AS left_edge FROM {v_rects} a JOIN {v_rects} b ON a.doc_id = b.doc_id AND a.page = b.page AND a.rect_ix <> b.rect_ix AND a.top = b.top AND b.x1 <= a.x0 + 0.5 GROUP BY a.doc_id, a.rect_ix")
 shared("container_cells", "SELECT DISTINCT a.doc_id, a.rect_ix FROM {v_rects} a JOIN {v_rects} b ON a.doc_id = b.doc_id AND a.page = b.page AND a.rect_ix <> b.rect_ix AND b.x0 >= a.x0 - 1 AND b.x1 <= a.x1 + 1 AND b.top >= a.top - 1 AND b.bottom <= a.bottom + 1 AND b.width * b.height < a.width * a.height")
-shared("innermost", "SELECT a.doc_id, a.rect_ix FROM {v_rects} a LEFT JOIN {v_rects} b ON a.doc_id = b.doc_id AND a.page = b.page AND a.rect_ix <> b.rect_ix AND b.fill AND b.x0 >= a.x0 - 1 AND b.x1 <= a.x1 + 1 AND b.top >= a.top - 1 AND b.bottom <= a.bottom + 1 WHERE a.fill AND b.rect_ix IS NULL")
+shared("innermost", "SELECT a.doc_id, a.rect_ix FROM {v_rects} a LEFT JOIN {v_rects} b ON a.doc_id = b.doc_id AND a.page = b.page AND a.rect_ix <> b.rect_ix AND b.fill AND b.x0 >= a.x0 - 1 AND b.x1 <= a.x1 + 1 AND b.top >= a.top - 1 AND b.bottom <= a.bottom + 1 AND a.width * a.height > b.width * b.height + 1 WHERE a.fill AND b.rect_ix IS NULL")
 shared("siblings", "SELECT DISTINCT a.doc_id, a.rect_ix FROM {v_rects} a JOIN {v_rects} b ON a.doc_id = b.doc_id AND a.page = b.page AND a.rect_ix <> b.rect_ix AND a.fill AND b.fill AND abs(a.width - b.width) <= 4 AND abs(a.height - b.height) <= 4 AND abs(a.top - b.top) <= 25 AND NOT (abs(a.x0 - b.x0) <= 3 AND abs(a.top - b.top) <= 3)")
 _SUP = "EXISTS (SELECT 1 FROM {v_rects} v WHERE v.doc_id = a.doc_id AND v.page = a.page AND v.width < 3 AND v.height >= 5 AND abs(v.x0 - a.%s) <= 2 AND v.top <= a.top + 3 AND v.bottom >= a.bottom - 3)"
 shared("vertical_support", f"SELECT doc_id, rect_ix FROM {{v_rects}} a WHERE {_SUP % 'x0'} AND {_SUP % 'x1'}")
 shared("text_in_cell", "SELECT w.doc_id, w.page, c.k AS cell, count(*) AS n_words, min(w.x0) AS x0, max(w.x1) AS x1 FROM {v_words} w JOIN (SELECT DISTINCT doc_id, page, line_no % 3 AS k FROM {v_words} WHERE word_ix = 0) c ON w.doc_id = c.doc_id AND w.page = c.page AND w.x0 >= 36 + 120 * c.k - 1 AND w.x1 <= 36 + 120 * (c.k + 1) + 1 GROUP BY w.doc_id, w.page, c.k")
 shared("prose_panels", "SELECT doc_id, page, count(DISTINCT top) AS lines FROM {v_words} WHERE x0 >= 30 AND x1 <= 400 AND top >= 24 AND bottom <= 200 GROUP BY doc_id, page HAVING count(DISTINCT top) >= 3")
 shared("row_gap_exceeds", "SELECT doc_id, page, max(gap) AS gap FROM (SELECT doc_id, page, top - lag(top) OVER (PARTITION BY doc_id, page ORDER BY top) AS gap FROM (SELECT DISTINCT doc_id, page, top FROM {v_words} WHERE length(text) > 8) t) g GROUP BY doc_id, page HAVING max(gap) > 16")
-shared("keep_reachable", "SELECT t.doc_id, t.ti FROM {v_truth} t WHERE EXISTS (SELECT 1 FROM {v_rects} r WHERE r.doc_id = t.doc_id AND (r.width < 3 OR r.height < 3) AND r.x0 < t.x1 + 6 AND r.x1 > t.x0 - 6 AND r.top < 200 - t.y0 + 6 AND r.bottom > 200 - t.y1 - 6)")
+shared("keep_reachable", """SELECT t.doc_id, t.ti FROM {v_truth} t WHERE EXISTS (SELECT 1 FROM {v_rects} r WHERE r.doc_id = t.doc_id AND r.page = t.page
+  AND (r.width < 3 AND r.height >= 5 OR r.height < 3 AND r.width >= 5 OR r.fill) AND r.x0 < t.x1 + 6 AND r.x1 > t.x0 - 6 AND r.top < 200 - t.y0 + 6 AND r.bottom > 200 - t.y1 - 6)""")
 shared("grid_cells", "WITH h AS (SELECT doc_id, page, top, x0, x1 FROM {v_rects} WHERE height < 3 AND width >= 5), v AS (SELECT doc_id, page, x0 AS x, top, bottom FROM {v_rects} WHERE width < 3 AND height >= 5), b AS (SELECT a.doc_id, a.page, a.x0, a.x1, a.top, min(c.top) AS bottom FROM h a JOIN h c ON a.doc_id = c.doc_id AND a.page = c.page AND c.top > a.top + 4 AND a.x0 + 4 < c.x1 AND a.x1 - 4 > c.x0 GROUP BY a.doc_id, a.page, a.x0, a.x1, a.top), e AS (SELECT doc_id, page, x0, x1, top, bottom, x0 AS x FROM b UNION SELECT doc_id, page, x0, x1, top, bottom, x1 FROM b UNION SELECT b.doc_id, b.page, b.x0, b.x1, b.top, b.bottom, v.x FROM b JOIN v ON b.doc_id = v.doc_id AND b.page = v.page AND v.x > b.x0 - 2 AND v.x < b.x1 + 2 AND v.top <= b.top + 3 AND v.bottom >= b.bottom - 3), n AS (SELECT doc_id, page, top, bottom, x AS cx0, lead(x) OVER (PARTITION BY doc_id, page, x0, x1, top, bottom ORDER BY x) AS cx1 FROM e) SELECT DISTINCT doc_id, page, cx0 AS x0, top, cx1 AS x1, bottom FROM n WHERE cx1 - cx0 > 20 AND bottom - top > 14")
 shared("checkbox_cells", "SELECT doc_id, rect_ix FROM {v_rects} WHERE width BETWEEN 20 AND 34 AND height BETWEEN 14 AND 34 AND abs(width - height) < 14")
 shared("already_claimed", "SELECT DISTINCT r.doc_id, r.rect_ix FROM {v_rects} r JOIN {v_det} d ON r.doc_id = d.doc_id AND r.page = d.page AND r.fill AND greatest(0, least(r.x1, d.x1) - greatest(r.x0, d.x0)) * greatest(0, least(r.bottom, 200 - d.y0) - greatest(r.top, 200 - d.y1)) >= 0.3 * r.width * r.height")
-shared("box_edges", "SELECT h.doc_id, h.rect_ix FROM {v_rects} h WHERE h.height < 3 AND EXISTS (SELECT 1 FROM {v_rects} v WHERE v.doc_id = h.doc_id AND v.width < 3 AND abs(v.x0 - h.x0) <= 6 AND v.height BETWEEN 0.4 * h.width AND 2.5 * h.width) AND EXISTS (SELECT 1 FROM {v_rects} v WHERE v.doc_id = h.doc_id AND v.width < 3 AND abs(v.x0 - h.x1) <= 6 AND v.height BETWEEN 0.4 * h.width AND 2.5 * h.width)")
+# forty orders are one page here, so that strokes meet
+_UPRIGHT = """EXISTS (SELECT 1 FROM r v WHERE v.doc_id = h.doc_id AND v.page = h.page AND v.width < 3 AND v.height >= 5 AND abs(v.x0 - h.%s) <= 6
+  AND v.height BETWEEN 0.4 * h.width AND 2.5 * h.width AND v.top <= h.bottom + 6 AND v.bottom >= h.top - 6)"""
+_FORTY = "r AS (SELECT CAST(floor(doc_id / 40) AS BIGINT) AS doc_id, page, doc_id * 10 + rect_ix AS rect_ix, CASE WHEN width < 3 THEN doc_id % 7 * 40 ELSE x0 END AS x0, CASE WHEN width < 3 THEN doc_id % 7 * 40 + 2 ELSE x1 END AS x1, top, bottom, width, height FROM {v_rects})"
+shared("box_edges", f"WITH {_FORTY} SELECT h.doc_id, h.page, h.rect_ix FROM r h WHERE h.height < 3 AND h.width >= 5 AND {_UPRIGHT % 'x0'} AND {_UPRIGHT % 'x1'}")
 
 # Labels and scalars
 
 _LAB = lambda s, d, *cols: V.det(s, d).select("doc_id", "di", *cols)
 query("slugify", duck(" SELECT doc_id, di, coalesce(nullif(substr(regexp_replace(regexp_replace(lower(label), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 40), ''), 'field') AS slug FROM v_det", "v_det"))(lambda s, d: _LAB(s, d, X.slug(F.col("label")).alias("slug")))
-query("strip_leaders", duck(r", a AS (SELECT doc_id, di, label, regexp_replace(regexp_replace(label, '^[\s,;:]*(?:[.·](?:[ \t]*[.·])+|…)[\s,;:]*', ''), '[\s,;:]*(?:[.·](?:[ \t]*[.·])+|…)[\s,;:]*$', '') AS t FROM v_det) SELECT doc_id, di, CASE WHEN t = label THEN label ELSE trim(t) END AS label FROM a", "v_det"))(lambda s, d: _LAB(s, d, X.strip_leaders(F.col("label")).alias("label")))
+_RUN = r"((\.|·)[ \t]*)+(\.|·)|…"
+_STRIPPED = r", a AS (SELECT doc_id, di, label, regexp_replace(regexp_replace(label, '^\s*(RUN)[ \t,;:]*', ''), '[ \t,;:]*(RUN)\s*$', '') AS t FROM v_det)".replace("RUN", _RUN)
+query("strip_leaders", duck(_STRIPPED + " SELECT doc_id, di, CASE WHEN t = label THEN label ELSE trim(t) END AS label FROM a", "v_det"))(lambda s, d: _LAB(s, d, X.strip_leaders(F.col("label")).alias("label")))
 query("normalize_label", duck(f" SELECT doc_id, di, {_NORM.format('label')} AS norm FROM v_det", "v_det"))(lambda s, d: _LAB(s, d, X.normalize_label(F.col("label")).alias("norm")))
 query("normalize_plain", duck(" SELECT doc_id, di, regexp_replace(lower(label), '[^a-z0-9'']', '', 'g') AS norm FROM v_det", "v_det"))(lambda s, d: _LAB(s, d, X.normalize_plain(F.col("label")).alias("norm")))
-query("tokenize", duck(r" SELECT doc_id, di, list_filter(string_split_regex(trim(label), '\s+'), lambda x: x <> '') AS tokens FROM v_det", "v_det"))(lambda s, d: _LAB(s, d, X.tokenize(F.col("label")).alias("tokens")))
-query("field_kind", duck(r" SELECT doc_id, di, CASE WHEN regexp_matches(lower(label), '\b(month|mm/yyyy|mm/yy)\b') THEN 'month' WHEN regexp_matches(lower(label), '\b(date|dob|dd/mm/yyyy|mm/dd/yyyy|birthday)\b') THEN 'date' WHEN regexp_matches(lower(label), '\b(number of|no\. of|how many|count|quantity|qty|age)\b') THEN 'integer' END AS kind FROM v_det", "v_det"))(lambda s, d: _LAB(s, d, X.field_kind(F.col("label")).alias("kind")))
-@query("field_ids", duck(", b AS (SELECT doc_id, di, concat('p', page, '_', coalesce(nullif(substr(regexp_replace(regexp_replace(lower(label), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 40), ''), 'field')) AS base FROM v_det), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY di) AS k FROM b) SELECT doc_id, di, CASE WHEN k = 1 THEN base ELSE concat(base, '_', k) END AS id FROM n", "v_det"))
+query("tokenize", duck(r" SELECT doc_id, di, list_filter(string_split_regex(replace(label, chr(160), ' '), '\s+'), lambda x: x <> '') AS tokens FROM v_det", "v_det"))(lambda s, d: _LAB(s, d, X.tokenize(F.col("label")).alias("tokens")))
+_KIND = r"""SELECT doc_id, di, CASE
+  WHEN regexp_matches(l, '(^|[^a-z0-9_])((d|dd)[-/.](m|mm)|(m|mm)[-/.](d|dd))[-/.](yyyy|ccyy|yy)($|[^a-z0-9_])') OR regexp_matches(l, '(^|[^a-z0-9_])(yyyy|ccyy)[-/.](m|mm)[-/.](d|dd)($|[^a-z0-9_])') THEN 'date'
+  WHEN regexp_matches(l, '(^|[^a-z0-9_])(m|mm)[-/.](yyyy|ccyy|yy)($|[^a-z0-9_])') OR list_has_any(ws, ['month']) THEN 'month'
+  WHEN (list_has_any(ws, ['age', 'count', 'quantity', 'qty']) OR regexp_matches(l, '(^|[^a-z0-9_])(how many|number of|no[.] of)($|[^a-z0-9_])')) AND NOT contains(l, '#')
+    AND NOT list_has_any(ws, ['phone', 'fax', 'account', 'bank', 'transit', 'insurance', 'license', 'licence', 'passport', 'policy', 'serial', 'card', 'file', 'case', 'permit', 'route', 'postal', 'zip']) THEN 'integer'
+  WHEN list_has_any(ws, ['date', 'dates', 'dob', 'birthday']) THEN 'date' END AS kind
+  FROM (SELECT doc_id, di, lower(label) AS l, string_split_regex(lower(label), '[^a-z0-9_]+') AS ws FROM v_det) q"""
+query("field_kind", duck(" " + _KIND, "v_det"))(lambda s, d: _LAB(s, d, X.field_kind(F.col("label")).alias("kind")))
+_IDS = """, b AS (SELECT v.doc_id, v.di, page, type, y1, x0, x1, rule, CASE WHEN a.t = v.label THEN v.label ELSE trim(a.t) END AS s FROM v_det v JOIN a ON a.doc_id = v.doc_id AND a.di = v.di),
+n AS (SELECT *, concat('p', page, '_', CASE WHEN type = 'text' THEN coalesce(nullif(substr(trim(regexp_replace(lower(CASE WHEN s = '' THEN 'value' ELSE s END), '[^a-z0-9]+', '_', 'g'), '_'), 1, 40), ''), 'field') ELSE 'chk' END) AS base FROM b),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY page, CASE rule WHEN 'R1' THEN 1 WHEN 'R2' THEN 2 WHEN 'R3' THEN 3 WHEN 'R4' THEN 4 WHEN 'R5' THEN 5 ELSE 0 END, y1 DESC, x0, x1) AS k FROM n)
+SELECT doc_id, CASE WHEN k = 1 THEN base ELSE concat(base, '_', k) END AS id, rule, y1, x0, x1 FROM k"""
+
+
+@query("field_ids", duck(_STRIPPED + _IDS, "v_det"))
 def field_ids(s, d):
-    from pyspark.sql import Window
-
-    b = V.det(s, d).select("doc_id", "di", F.concat(F.lit("p"), F.col("page"), F.lit("_"), X.slug(F.col("label"))).alias("base"))
-    k = F.row_number().over(Window.partitionBy("doc_id", "base").orderBy("di"))
-    return b.withColumn("k", k).select("doc_id", "di", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), "k")).alias("id"))
+    """Ids of all fields of a document; fields that agree in page, rule and box are alike, so their ids may change places."""
+    return detect.number_fields(V.det(s, d)).select("doc_id", "id", "rule", "y1", "x0", "x1")
 
 
 @query("yes_no_groups", duck(r", o AS (SELECT doc_id, page, di, regexp_extract(l, '^(.*?)\s*\(([^()]+)\)\s*$', 1) AS prompt, lower(regexp_extract(l, '^(.*?)\s*\(([^()]+)\)\s*$', 2)) AS opt FROM (SELECT *, CASE WHEN di % 2 = 0 THEN replace(label, 'Yes', 'No') ELSE label END AS l FROM v_det) WHERE regexp_matches(l, '^.*[?:]\s*\([^()]+\)\s*$')) SELECT doc_id, page, prompt, min(di) AS first_di FROM o GROUP BY ALL HAVING list_sort(list(opt)) = ['no', 'yes']", "v_det"))
@@ -237,7 +264,6 @@ shared("classify_verdict", f"SELECT page_id, verdict FROM ({_CLS}) c")
 shared("verdict_counts", f"SELECT verdict, count(*) AS n FROM ({_CLS}) c GROUP BY verdict")
 shared("blind_rank", f"SELECT page_id, verdict, CASE WHEN page_id % 17 = 0 THEN 1000000000 WHEN thin_h = 0 AND (thin_h >= 10 OR thin_v >= 10) THEN 100000000 WHEN thin_h = 0 THEN -1 ELSE 100 * (page_id % 3) + 50 * (page_id % 2) + thin_v END AS suspicion FROM ({_CLS}) c WHERE verdict IN ('flat-wordlike', 'flat-sparse') ORDER BY suspicion DESC, page_id LIMIT 40")
 shared("structured_filter", f"SELECT page_id, coalesce(thin_h >= 10 OR thin_v >= 10, true) AS structured FROM ({_CLS}) c")
-shared("fetch_plan", "WITH u AS (SELECT event_id AS ord, user_id AS host, concat(CAST(user_id AS {str}), '/', CAST(event_id % 13 AS {str})) AS url, event_type, CASE WHEN event_id % 19 = 0 THEN 403 ELSE 200 END AS status FROM {events}), b AS (SELECT *, min(CASE WHEN status IN (403, 429) THEN ord END) OVER (PARTITION BY host) AS blocked_at, row_number() OVER (PARTITION BY url ORDER BY ord) AS nth FROM u) SELECT ord, CASE WHEN nth > 1 THEN 'known' WHEN blocked_at < ord THEN 'blocked' WHEN status IN (403, 429) THEN 'refused' ELSE 'fetch' END AS decision FROM b".replace("{str}", "VARCHAR"), spark_sql="WITH u AS (SELECT event_id AS ord, user_id AS host, concat(user_id, '/', event_id % 13) AS url, event_type, CASE WHEN event_id % 19 = 0 THEN 403 ELSE 200 END AS status FROM {events}), b AS (SELECT *, min(CASE WHEN status IN (403, 429) THEN ord END) OVER (PARTITION BY host) AS blocked_at, row_number() OVER (PARTITION BY url ORDER BY ord) AS nth FROM u) SELECT ord, CASE WHEN nth > 1 THEN 'known' WHEN blocked_at < ord THEN 'blocked' WHEN status IN (403, 429) THEN 'refused' ELSE 'fetch' END AS decision FROM b")
 shared("throttle_gaps", "SELECT event_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 SECOND AS too_soon FROM {events}")
 shared("content_dedup", "SELECT min(page_id) AS page_id, sha256(html) AS sha, count(*) AS copies FROM {pages} GROUP BY sha256(html)", spark_sql="SELECT min(page_id) AS page_id, sha2(html, 256) AS sha, count(*) AS copies FROM {pages} GROUP BY sha2(html, 256)")
 shared("known_url_anti", "SELECT p.page_id FROM {pages} p LEFT JOIN (SELECT DISTINCT url FROM {pages} WHERE page_id % 4 = 0) k ON p.url = k.url WHERE k.url IS NULL")
@@ -279,7 +305,6 @@ shared("rule_sort", "SELECT rule, row_number() OVER (ORDER BY CAST(regexp_extrac
 shared("new_offenders", "SELECT di, doc_id FROM {v_det} WHERE x0 < 0 EXCEPT SELECT di, doc_id FROM {v_det} WHERE x0 < 0 AND split = 'holdout'")
 shared("new_failures", "SELECT o_orderkey AS form, CASE o_orderstatus WHEN 'F' THEN 'crash' ELSE 'timeout' END AS reason FROM {orders} o WHERE o_orderstatus IN ('F', 'P') AND NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')")
 shared("feature_share", "SELECT rule, count(DISTINCT doc_id) AS forms FROM {v_truth} GROUP BY rule")
-shared("guards_pooled", "SELECT family, sum(CASE WHEN type = 'checkbox' THEN 1 ELSE 0 END) AS boxes, count(*) AS n, CAST(sum((x1 - x0) * (y1 - y0)) AS DOUBLE) / count(*) AS mean_area FROM {v_det} GROUP BY family")
 
 
 # Detection: one made-up form per customer, whose fields are known
