@@ -204,8 +204,6 @@ shared("vertical_support", f"SELECT doc_id, rect_ix FROM {{v_rects}} a WHERE {_S
 shared("text_in_cell", "SELECT w.doc_id, w.page, c.k AS cell, count(*) AS n_words, min(w.x0) AS x0, max(w.x1) AS x1 FROM {v_words} w JOIN (SELECT DISTINCT doc_id, page, line_no % 3 AS k FROM {v_words} WHERE word_ix = 0) c ON w.doc_id = c.doc_id AND w.page = c.page AND w.x0 >= 36 + 120 * c.k - 1 AND w.x1 <= 36 + 120 * (c.k + 1) + 1 GROUP BY w.doc_id, w.page, c.k")
 shared("prose_panels", "SELECT doc_id, page, count(DISTINCT top) AS lines FROM {v_words} WHERE x0 >= 30 AND x1 <= 400 AND top >= 24 AND bottom <= 200 GROUP BY doc_id, page HAVING count(DISTINCT top) >= 3")
 shared("row_gap_exceeds", "SELECT doc_id, page, max(gap) AS gap FROM (SELECT doc_id, page, top - lag(top) OVER (PARTITION BY doc_id, page ORDER BY top) AS gap FROM (SELECT DISTINCT doc_id, page, top FROM {v_words} WHERE length(text) > 8) t) g GROUP BY doc_id, page HAVING max(gap) > 16")
-shared("keep_reachable", """SELECT t.doc_id, t.ti FROM {v_truth} t WHERE EXISTS (SELECT 1 FROM {v_rects} r WHERE r.doc_id = t.doc_id AND r.page = t.page
-  AND (r.width < 3 AND r.height >= 5 OR r.height < 3 AND r.width >= 5 OR r.fill) AND r.x0 < t.x1 + 6 AND r.x1 > t.x0 - 6 AND r.top < 200 - t.y0 + 6 AND r.bottom > 200 - t.y1 - 6)""")
 shared("grid_cells", "WITH h AS (SELECT doc_id, page, top, x0, x1 FROM {v_rects} WHERE height < 3 AND width >= 5), v AS (SELECT doc_id, page, x0 AS x, top, bottom FROM {v_rects} WHERE width < 3 AND height >= 5), b AS (SELECT a.doc_id, a.page, a.x0, a.x1, a.top, min(c.top) AS bottom FROM h a JOIN h c ON a.doc_id = c.doc_id AND a.page = c.page AND c.top > a.top + 4 AND a.x0 + 4 < c.x1 AND a.x1 - 4 > c.x0 GROUP BY a.doc_id, a.page, a.x0, a.x1, a.top), e AS (SELECT doc_id, page, x0, x1, top, bottom, x0 AS x FROM b UNION SELECT doc_id, page, x0, x1, top, bottom, x1 FROM b UNION SELECT b.doc_id, b.page, b.x0, b.x1, b.top, b.bottom, v.x FROM b JOIN v ON b.doc_id = v.doc_id AND b.page = v.page AND v.x > b.x0 - 2 AND v.x < b.x1 + 2 AND v.top <= b.top + 3 AND v.bottom >= b.bottom - 3), n AS (SELECT doc_id, page, top, bottom, x AS cx0, lead(x) OVER (PARTITION BY doc_id, page, x0, x1, top, bottom ORDER BY x) AS cx1 FROM e) SELECT DISTINCT doc_id, page, cx0 AS x0, top, cx1 AS x1, bottom FROM n WHERE cx1 - cx0 > 20 AND bottom - top > 14")
 shared("checkbox_cells", "SELECT doc_id, rect_ix FROM {v_rects} WHERE width BETWEEN 20 AND 34 AND height BETWEEN 14 AND 34 AND abs(width - height) < 14")
 shared("already_claimed", "SELECT DISTINCT r.doc_id, r.rect_ix FROM {v_rects} r JOIN {v_det} d ON r.doc_id = d.doc_id AND r.page = d.page AND r.fill AND greatest(0, least(r.x1, d.x1) - greatest(r.x0, d.x0)) * greatest(0, least(r.bottom, 200 - d.y0) - greatest(r.top, 200 - d.y1)) >= 0.3 * r.width * r.height")
@@ -258,20 +256,10 @@ shared("label_shape", r"SELECT doc_id, di, length(label) BETWEEN 2 AND 60 AS len
 
 # Corpus: classification, crawl plan, blind ranking
 
-_M = "SELECT page_id, url, CAST(length(html) AS BIGINT) AS bytes, CAST((length(html) - length(replace(html, '<p', ''))) / 2 AS BIGINT) AS thin_h, CAST((length(html) - length(replace(html, '<li', ''))) / 3 AS BIGINT) AS thin_v, page_id % 5 AS pages FROM {pages}"
-_CLS = f"SELECT page_id, bytes, thin_h, thin_v, CASE WHEN bytes = 0 OR pages = 0 THEN 'unusable' WHEN bytes / greatest(pages, 1) < 600 THEN 'scan' WHEN page_id % 7 = 0 AND page_id % 2 = 0 THEN 'fillable-livecycle' WHEN page_id % 7 = 0 THEN 'fillable-other' WHEN thin_h > 8 AND thin_v > 4 THEN 'flat-wordlike' ELSE 'flat-sparse' END AS verdict FROM ({_M}) m"
-shared("classify_verdict", f"SELECT page_id, verdict FROM ({_CLS}) c")
-shared("verdict_counts", f"SELECT verdict, count(*) AS n FROM ({_CLS}) c GROUP BY verdict")
-shared("blind_rank", f"SELECT page_id, verdict, CASE WHEN page_id % 17 = 0 THEN 1000000000 WHEN thin_h = 0 AND (thin_h >= 10 OR thin_v >= 10) THEN 100000000 WHEN thin_h = 0 THEN -1 ELSE 100 * (page_id % 3) + 50 * (page_id % 2) + thin_v END AS suspicion FROM ({_CLS}) c WHERE verdict IN ('flat-wordlike', 'flat-sparse') ORDER BY suspicion DESC, page_id LIMIT 40")
-shared("structured_filter", f"SELECT page_id, coalesce(thin_h >= 10 OR thin_v >= 10, true) AS structured FROM ({_CLS}) c")
 shared("throttle_gaps", "SELECT event_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 SECOND AS too_soon FROM {events}")
 shared("content_dedup", "SELECT min(page_id) AS page_id, sha256(html) AS sha, count(*) AS copies FROM {pages} GROUP BY sha256(html)", spark_sql="SELECT min(page_id) AS page_id, sha2(html, 256) AS sha, count(*) AS copies FROM {pages} GROUP BY sha2(html, 256)")
 shared("known_url_anti", "SELECT p.page_id FROM {pages} p LEFT JOIN (SELECT DISTINCT url FROM {pages} WHERE page_id % 4 = 0) k ON p.url = k.url WHERE k.url IS NULL")
-shared("scan_pages", "SELECT doc_id, page, sum(CASE WHEN trim(text) <> '' THEN length(text) ELSE 0 END) < 20 AS scanned FROM {v_words} GROUP BY doc_id, page")
-shared("notice", "WITH p AS (SELECT doc_id, page, sum(CASE WHEN trim(text) <> '' THEN length(text) ELSE 0 END) < 20 AS scanned, page % 7 = 0 AS ocr FROM {v_words} GROUP BY doc_id, page), d AS (SELECT doc_id, count(*) AS n, sum(CASE WHEN scanned AND NOT ocr THEN 1 ELSE 0 END) AS lost, max(CASE WHEN ocr THEN 1 ELSE 0 END) AS any_ocr FROM p GROUP BY doc_id) SELECT doc_id, CASE WHEN 2 * lost >= n THEN 'scanned' WHEN any_ocr = 1 THEN 'ocr_assisted' WHEN doc_id % 9 = 0 THEN 'no_fields' END AS code FROM d")
 shared("contract_check", "SELECT di, doc_id, CASE WHEN x1 <= x0 OR y1 <= y0 THEN 'bad_rect' WHEN type NOT IN ('text', 'checkbox', 'multiline') THEN 'bad_type' WHEN length(label) > 64 THEN 'bad_id' END AS problem FROM {v_det}")
-shared("widget_plan", "SELECT doc_id, di, greatest(x1 - x0, 6) AS w, greatest(y1 - y0, 6) AS h, least(12e0, greatest(8e0, (y1 - y0) * 62e-2)) AS font_size, type = 'multiline' AS multiline FROM {v_det}")
-shared("annot_filter", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) AS n FROM {lineitem} WHERE l_partkey & 1 = 0 AND l_suppkey & 2 = 0 GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey")
 shared("char_split", "SELECT sum(length(text)) AS n_chars, sum(CASE WHEN text <> '' THEN x1 - x0 ELSE 0 END) AS width FROM {v_words}", spark_sql="SELECT sum(length(text)) AS n_chars, sum(CASE WHEN text <> '' THEN x1 - x0 ELSE 0 END) AS width FROM {v_words}")
 shared("page_carry", "WITH e AS (SELECT user_id AS doc, event_id AS page, CASE WHEN event_type = 'purchase' OR event_id % 5 = 0 THEN event_id END AS header, event_id % 50 = 0 AS reset FROM {events}), g AS (SELECT *, sum(CASE WHEN reset THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY page) AS grp FROM e) SELECT doc, page, max(header) OVER (PARTITION BY doc, grp ORDER BY page) AS carried FROM g")
 shared("resume_pending", "SELECT o.o_orderkey FROM {orders} o LEFT JOIN (SELECT DISTINCT l_orderkey FROM {lineitem} WHERE l_linenumber = 1 AND l_partkey % 2 = 0) d ON o.o_orderkey = d.l_orderkey WHERE d.l_orderkey IS NULL")
@@ -304,7 +292,6 @@ def report_deltas(s, d):
 shared("rule_sort", "SELECT rule, row_number() OVER (ORDER BY CAST(regexp_extract(rule, '([0-9]+)', 1) AS INT), rule) AS n FROM (SELECT DISTINCT concat('R', p_size, CASE WHEN p_partkey % 2 = 0 THEN 'b' ELSE '' END) AS rule FROM {part}) r")
 shared("new_offenders", "SELECT di, doc_id FROM {v_det} WHERE x0 < 0 EXCEPT SELECT di, doc_id FROM {v_det} WHERE x0 < 0 AND split = 'holdout'")
 shared("new_failures", "SELECT o_orderkey AS form, CASE o_orderstatus WHEN 'F' THEN 'crash' ELSE 'timeout' END AS reason FROM {orders} o WHERE o_orderstatus IN ('F', 'P') AND NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')")
-shared("feature_share", "SELECT rule, count(DISTINCT doc_id) AS forms FROM {v_truth} GROUP BY rule")
 
 
 # Detection: one made-up form per customer, whose fields are known
