@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import bucket_count, materialise, packed, plain_text
+from quillspan.llm.common import bucket_count, materialise, packed, plain_text, released
 from quillspan.llm.components import connected_components
 
 SEED = 42
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, *keys: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *names])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[k.alias(n) for k, n in zip(keys, names)])
-    return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *[f"{n} string" for n in names]]))
+    return rows.mapInArrow(released(run), ", ".join(["doc_id long", "fp long", *[f"{n} string" for n in names]]))
 
 
 def _links(run: np.ndarray, rows: int = 256, columns: int = 8192) -> list[tuple[int, int]]:
@@ -152,7 +152,7 @@ def links(distinct: DataFrame, heavy_list: int = HEAVY) -> DataFrame:
         if held:
             yield done(held)
 
-    return posting.mapInArrow(run, "a long, b long")
+    return posting.mapInArrow(released(run), "a long, b long")
 
 
 def homes(fps: DataFrame) -> DataFrame:

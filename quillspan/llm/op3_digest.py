@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import bucket_count, materialise, order_key
+from quillspan.llm.common import bucket_count, materialise, order_key, released
 
 BUCKETS = 256
 #: Difference of two codes: apart by the whole range counts double.
@@ -105,7 +105,7 @@ def document_digests(docs: DataFrame) -> DataFrame:
         if held is not None:
             yield made([(held[0], *(None,) * 6)], "last", [held[1]])
 
-    parts = materialise(dealt.mapInArrow(run, f"{_ROW}, pid int, edge string, text string"), "digest-rows")
+    parts = materialise(dealt.mapInArrow(released(run), f"{_ROW}, pid int, edge string, text string"), "digest-rows")
     # one row a range
     firsts = parts.where("edge = 'first'").select("pid", F.col("text").alias("follower"))
     after = firsts.select("pid", F.coalesce(F.lead("pid").over(Window.orderBy("pid")), F.min("pid").over(Window.partitionBy())).alias("next"))
@@ -117,6 +117,6 @@ def document_digests(docs: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays(_batch(out), list(_TYPES))
 
-    every = parts.where("edge = ''").select(*_TYPES).unionByName(edges.mapInArrow(close, _ROW))
+    every = parts.where("edge = ''").select(*_TYPES).unionByName(edges.mapInArrow(released(close), _ROW))
     text = lambda c: F.lower(F.hex(c))
     return every.select("doc_id", "n_chars", text("edited").alias("edited_sha256"), text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next")

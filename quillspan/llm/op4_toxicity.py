@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspan.llm.common import packed
+from quillspan.llm.common import packed, released
 
 FOLDS = 5
 #: Bound of the training sample: toxic documents (twice as many ordinary ones), and bytes of each, longer ones being left out of it.
@@ -226,7 +226,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             scores = np.array([scorer.score(t) for t in b.column(1).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["_row", "score", "predicted"])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(released(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

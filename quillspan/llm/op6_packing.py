@@ -14,6 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.common import released
 from quillspan.llm.tokens import encoder, tokenizer_path
 
 LENGTH = 2048
@@ -119,4 +120,4 @@ def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id
         if rests:
             yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), SCHEMA)

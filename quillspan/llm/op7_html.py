@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspan.llm.common import materialise
+from quillspan.llm.common import materialise, released
 from quillspan.llm.dom import Node, blocks, content_root, match_trees, parse, prepare, varying
 
 #: Distinct pages that must meet a node, the share of the host's or layout's distinct pages that must, and the share of those with the same text.
@@ -150,7 +150,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
         if met:
             yield _counted(met)
 
-    stats = joined(counted, exemplars.select("host", "layout", "exemplar")).mapInArrow(count, "host string, layout long, node int, same boolean, n double")
+    stats = joined(counted, exemplars.select("host", "layout", "exemplar")).mapInArrow(released(count), "host string, layout long, node int, same boolean, n double")
     # Sums of 1/n over all n copies are whole numbers but for rounding. Rows without `same` tell amounts of varying text.
     whole = lambda n: F.round(F.sum(n)).cast("long")
     sums = stats.groupBy("host", "layout", "node").agg(whole(F.when(F.col("same").isNotNull(), F.col("n")).otherwise(0.0)).alias("met"), whole(F.when(F.col("same"), F.col("n")).otherwise(0.0)).alias("same"), whole(F.when(F.col("same").isNull(), F.col("n")).otherwise(0.0)).alias("amount")).alias("s")
@@ -165,7 +165,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("host"), b.column("layout"), b.column("constant"), pa.array(roots, pa.int32())], ["host", "layout", "constant", "content"])
 
     held = told.alias("t").join(exemplars.select("host", "layout", "exemplar").alias("e"), of("t", "e")).select("t.host", "t.layout", "constant", "amounts", "exemplar")
-    wrappers = materialise(held.mapInArrow(induce, "host string, layout long, constant array<int>, content int"), "wrappers")
+    wrappers = materialise(held.mapInArrow(released(induce), "host string, layout long, constant array<int>, content int"), "wrappers")
     constant = {(r["host"], r["layout"]): (frozenset(r["constant"]), r["content"]) for r in wrappers.toLocalIterator()} if small else {}
     fixed_nodes = spark.sparkContext.broadcast(constant)
 
@@ -190,9 +190,9 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     schema = T.StructType([*base.select("page_id", "url").schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     if small:
-        return base.mapInArrow(extract, schema)
+        return base.mapInArrow(released(extract), schema)
     known_groups = exemplars.select("host", "layout", "exemplar").alias("e").join(wrappers.alias("w"), of("e", "w"), "left").select("e.host", "e.layout", "exemplar", "constant", "content")
-    return joined(base, known_groups).mapInArrow(extract, schema)
+    return joined(base, known_groups).mapInArrow(released(extract), schema)
 
 
 def _counted(met: Counter) -> pa.RecordBatch:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import bucket_count, materialise, order_key, plain_text, scratch_path
+from quillspan.llm.common import bucket_count, materialise, order_key, plain_text, released, scratch_path
 from quillspan.llm.tokens import encoder, tokenizer_path
 
 MAGIC = b"QSPFOR01"
@@ -173,7 +173,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done)], ["bucket", "part", "docs", "ids"])
 
-    files = materialise(dealt.mapInArrow(run, "bucket long, part long, docs long, ids long"), "token-files")
+    files = materialise(dealt.mapInArrow(released(run), "bucket long, part long, docs long, ids long"), "token-files")
     earlier = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # one row a range: its number is that of the shuffle's partitions
     ranges = files.groupBy("bucket").agg(F.sum("ids").alias("all")).select("bucket", earlier(Window.orderBy("bucket"), "all").alias("base"))
@@ -210,7 +210,7 @@ def read_token_files(files: DataFrame, path: str) -> DataFrame:
                 if out:
                     yield batch(out)
 
-    return files.select("bucket", "part", "first").repartition(bucket_count(files), "bucket", "part").mapInArrow(run, SCHEMA)
+    return files.select("bucket", "part", "first").repartition(bucket_count(files), "bucket", "part").mapInArrow(released(run), SCHEMA)
 
 
 def token_files(docs: DataFrame, path: str | None = None, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, file_ids: int = FILE_IDS) -> DataFrame:
