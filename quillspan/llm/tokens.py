@@ -20,7 +20,7 @@ _WHOLE = r"[\x00\x1c-\x1f]|<\|"
 #: White space by which a byte-level text is cut by _CHUNK rather than at its single spaces and line feeds.
 _ODD = r"  | \n|\n\n\n|\n\n |[\t\r\x0b\x0c\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n]\z"
 #: Unknown pieces are encoded so many at once; texts are handled so many bytes at once.
-_JOINED, _BYTES = 200, 8 << 20
+_JOINED, _BYTES = 200, 12 << 20
 _MARKS = (".", ",")
 #: What an entry of the cache takes beside its key and its ids; longer keys aren't kept.
 _ENTRY, _LONG = 200, 256
@@ -29,7 +29,9 @@ _ENTRY, _LONG = 200, 256
 def _gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The runs pool[start : start + length], one after the other."""
     ends = np.cumsum(lengths)
-    return pool[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+    n = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(n, len(pool)) < 2**31 else np.int64
+    return pool[np.repeat((starts - (ends - lengths)).astype(kind), lengths) + np.arange(n, dtype=kind)]
 
 
 def _as_arrow(texts) -> pa.Array:
