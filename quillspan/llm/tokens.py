@@ -20,7 +20,7 @@ _WHOLE = r"[\x00\x1c-\x1f]|<\|"
 #: White space by which a byte-level text is cut by _CHUNK rather than at its single spaces and line feeds.
 _ODD = r"  | \n|\n\n\n|\n\n |[\t\r\x0b\x0c\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n]\z"
 #: Unknown pieces are encoded so many at once; texts are handled so many bytes at once.
-_JOINED, _BYTES = 200, 12 << 20
+_JOINED, _GROUPS, _BYTES = 200, 20, 6 << 20
 _MARKS = (".", ",")
 #: What an entry of the cache takes beside its key and its ids; longer keys aren't kept.
 _ENTRY, _LONG = 200, 256
@@ -46,7 +46,7 @@ class Encoder:
     their ids told apart by the bytes that each id stands for; where these don't add up, each is encoded alone.
     """
 
-    def __init__(self, path: str, most: int = 64 << 20, batch: int = _BYTES) -> None:
+    def __init__(self, path: str, most: int = 48 << 20, batch: int = _BYTES) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -71,6 +71,7 @@ class Encoder:
         while at < len(column):
             to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + self.batch)))
             yield from self._encode(column.slice(at, to - at))
+            pa.default_memory_pool().release_unused()
             at = to
 
     def _keys(self, column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
@@ -104,6 +105,7 @@ class Encoder:
         keys, begin, count, alone = self._keys(column)
         coded = keys.dictionary_encode()
         names, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        del keys, coded
         entry = np.array([-1 if e is None else e for e in map(self.known.get, names)], np.int64)
         lacking = np.flatnonzero(entry < 0)
         new = [names[i] for i in lacking.tolist()]
@@ -157,17 +159,19 @@ class Encoder:
         """(ids, their number in each part) of groups of parts, which may stand side by side with `between`, which the tokenizer drops."""
         out = []
         size = self._sizes(parts)
-        groups = [parts[i : i + _JOINED] for i in range(0, len(parts), _JOINED)]
-        for k, e in enumerate(self.tokenizer.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, dtype="<u4")
-            ends = np.cumsum(self.width[ids])
-            stops = np.cumsum(size[k * _JOINED : (k + 1) * _JOINED])
-            at = np.searchsorted(ends, stops)
-            if not len(ends) or ends[-1] != stops[-1] or (ends[np.minimum(at, len(ends) - 1)] != stops).any():
-                each = self._alone(groups[k])
-                out.append((np.concatenate(each), np.array(list(map(len, each)), np.int64)))
-            else:
-                out.append((ids, np.diff(at + 1, prepend=0)))
+        # a few groups at a time, since the library's results take many times the ids
+        for first in range(0, len(parts), _GROUPS * _JOINED):
+            groups = [parts[i : min(i + _JOINED, first + _GROUPS * _JOINED)] for i in range(first, min(len(parts), first + _GROUPS * _JOINED), _JOINED)]
+            for k, e in enumerate(self.tokenizer.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False)):
+                ids = np.array(e.ids, dtype="<u4")
+                ends = np.cumsum(self.width[ids])
+                stops = np.cumsum(size[first + k * _JOINED : first + k * _JOINED + len(groups[k])])
+                at = np.searchsorted(ends, stops)
+                if not len(ends) or ends[-1] != stops[-1] or (ends[np.minimum(at, len(ends) - 1)] != stops).any():
+                    each = self._alone(groups[k])
+                    out.append((np.concatenate(each), np.array(list(map(len, each)), np.int64)))
+                else:
+                    out.append((ids, np.diff(at + 1, prepend=0)))
         return out
 
     def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
