@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -217,13 +218,17 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     Null and empty texts have no window and get the score that calibration gives to none. Every window of a text counts, however long.
     """
-    base = packed(docs, text=F.col("text").cast("string"))
-    schema = T.StructType([base.schema["_row"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    base = packed(docs)
+    row = base.schema["_row"]
+    schema = T.StructType([row, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    at = [f.name.lower() for f in row.dataType.fields].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
         for b in batches:
-            scores = np.array([scorer.score(t) for t in b.column(1).to_pylist()], np.float64)
+            texts = pc.struct_field(b.column(0), at)
+            # a text at a time, so that a batch's texts aren't all held twice
+            scores = np.array([scorer.score(t.as_py()) for t in texts], np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["_row", "score", "predicted"])
 
     return base.mapInArrow(released(run), schema)
@@ -235,5 +240,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Equal texts have equal scores, repeated rows theirs each; a score of just 0.5 counts as toxic. Other columns are ignored.
     """
     model = train_on(docs, labels)
-    scored = score_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    scored = score_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
     return scored.select(F.col("_row.doc_id").alias("doc_id"), "score", "predicted").select("doc_id", held_out().alias("held_out"), "score", "predicted")

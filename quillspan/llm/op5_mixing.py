@@ -118,14 +118,15 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int
 
     A row's own hash and its source's bounds decide, so texts are not shuffled. Documents without words leave.
     """
-    rows = packed(docs, doc_id=F.col("doc_id").cast("long"), source=F.col("source").cast("string"), _size=word_count(), _key=hash_key(), text=plain_text())
+    rows = packed(docs, doc_id=F.col("doc_id").cast("long"), source=F.col("source").cast("string"), _size=word_count(), _key=hash_key())
     narrow = materialise(rows.select("source", "_size", "_key"), "mix-rows")
     held = _taken(rows, _bounds(narrow, weights, repeats)).where("taken > 0")
-    pieces = F.split("text", f"(?<={WS_CLASS})(?={NOT_WS_CLASS})")
-    lead = F.regexp_like("text", F.lit(f"^{WS_CLASS}")).cast("int")
+    text = plain_text(F.col("_row.text"))
+    pieces = F.split(text, f"(?<={WS_CLASS})(?={NOT_WS_CLASS})")
+    lead = F.regexp_like(text, F.lit(f"^{WS_CLASS}")).cast("int")
     rest = (F.col("taken") % F.col("_size")).cast("int")
     cut = F.when(rest > 0, F.array_join(F.slice(pieces, 1, rest + lead), ""))
-    copies = F.array_repeat("text", F.floor(F.col("taken") / F.col("_size")).cast("int"))
+    copies = F.array_repeat(text, F.floor(F.col("taken") / F.col("_size")).cast("int"))
     out = held.select("_row", F.explode(F.concat(copies, F.array_compact(F.array(cut)))).alias("text"))
     kept = {"text": F.col("text")}
     if "n_chars" in docs.columns:

@@ -35,7 +35,7 @@ class DigestIndex:
     def _write(self, run: DataFrame, level: int) -> DataFrame:
         to = f"{self.path}/level{level}-run{self.n}"
         self.n += 1
-        run.sortWithinPartitions("digest").write.parquet(to)
+        run.sortWithinPartitions("digest").write.option("compression", "zstd").parquet(to)
         return self.spark.read.schema(run.schema).parquet(to)
 
     def flush(self, rows: DataFrame) -> DataFrame:

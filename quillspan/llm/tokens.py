@@ -20,7 +20,7 @@ _WHOLE = r"[\x00\x1c-\x1f]|<\|"
 #: White space by which a byte-level text is cut by _CHUNK rather than at its single spaces and line feeds.
 _ODD = r"  | \n|\n\n\n|\n\n |[\t\r\x0b\x0c\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n]\z"
 #: Unknown pieces are encoded so many at once; texts are handled so many bytes at once.
-_JOINED, _GROUPS, _BYTES = 200, 20, 6 << 20
+_JOINED, _GROUPS, _BYTES = 200, 10, 4 << 20
 _MARKS = (".", ",")
 #: What an entry of the cache takes beside its key and its ids; longer keys aren't kept.
 _ENTRY, _LONG = 200, 256
@@ -46,7 +46,7 @@ class Encoder:
     their ids told apart by the bytes that each id stands for; where these don't add up, each is encoded alone.
     """
 
-    def __init__(self, path: str, most: int = 48 << 20, batch: int = _BYTES) -> None:
+    def __init__(self, path: str, most: int = 40 << 20, batch: int = _BYTES) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
