@@ -28,6 +28,8 @@ BLOCK = 1024
 PERCENTILE = 90
 #: A file is closed at the first document after so many ids.
 FILE_IDS = 1 << 25
+#: Bytes of text that are encoded at once.
+BATCH = 12 << 20
 _FOOTER = "<QQQQ8s"
 _HEAD = "<IHBBH"
 
@@ -141,7 +143,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        ids_of, store, folder = encoder(tok), *fs.FileSystem.from_uri(path)
+        ids_of, store, folder = encoder(tok, BATCH), *fs.FileSystem.from_uri(path)
         attempt, bucket = TaskContext.get().taskAttemptId(), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4")
         done: list[tuple[int, int, int, int]] = []

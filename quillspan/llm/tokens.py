@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -155,17 +155,18 @@ class Encoder:
             return np.array([len(p) if p.isascii() else len(unicodedata.normalize("NFC", p).lower().encode()) for p in parts], np.int64)
         return np.fromiter(map(len, map(str.encode, parts)), np.int64, len(parts))
 
-    def _joined(self, parts: list[str], between: str) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids, their number in each part) of groups of parts, which may stand side by side with `between`, which the tokenizer drops."""
+    def _joined(self, keys: list[str], shown: Callable[[str], str], between: str) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, their number in each key) of groups of keys, which may stand side by side as they are shown with `between`, which the tokenizer drops."""
         out = []
-        size = self._sizes(parts)
         # a few groups at a time, since the library's results take many times the ids
-        for first in range(0, len(parts), _GROUPS * _JOINED):
-            groups = [parts[i : min(i + _JOINED, first + _GROUPS * _JOINED)] for i in range(first, min(len(parts), first + _GROUPS * _JOINED), _JOINED)]
+        for first in range(0, len(keys), _GROUPS * _JOINED):
+            some = list(map(shown, keys[first : first + _GROUPS * _JOINED]))
+            size = self._sizes(some)
+            groups = [some[i : i + _JOINED] for i in range(0, len(some), _JOINED)]
             for k, e in enumerate(self.tokenizer.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False)):
                 ids = np.array(e.ids, dtype="<u4")
                 ends = np.cumsum(self.width[ids])
-                stops = np.cumsum(size[first + k * _JOINED : first + k * _JOINED + len(groups[k])])
+                stops = np.cumsum(size[k * _JOINED : (k + 1) * _JOINED])
                 at = np.searchsorted(ends, stops)
                 if not len(ends) or ends[-1] != stops[-1] or (ends[np.minimum(at, len(ends) - 1)] != stops).any():
                     each = self._alone(groups[k])
@@ -183,8 +184,8 @@ class Encoder:
             # white space at an end of a text leaves an empty key, which has no ids
             shown = dict.fromkeys(stem)
             rest = [shown.pop("")] if "" in shown else []
-            order, rest = list(shown), [""] * len(rest)
-            pieces = [*self._joined(order, " "), *[(np.empty(0, "<u4"), np.zeros(1, np.int64)) for _ in rest]]
+            rest = [""] * len(rest)
+            pieces = [*self._joined(list(shown), str, " "), *[(np.empty(0, "<u4"), np.zeros(1, np.int64)) for _ in rest]]
         else:
             odd = [i for i, s in enumerate(stem) if s[:1] == "\0" and not s[1].isspace()]
             for i in odd:
@@ -194,10 +195,12 @@ class Encoder:
             rest = [w for w in shown if w in ("", "\n") or w[0] == "\0"]
             for w in rest:
                 del shown[w]
-            order = list(shown)
-            pieces = self._joined([w if w[0] == "\n" else " " + w for w in order], "")
+            pieces = self._joined(list(shown), lambda w: w if w[0] == "\n" else " " + w, "")
             pieces += [(e, np.array([len(e)])) for e in self._alone([w[1:] if w[:1] == "\0" else w or " " for w in rest])]
-        place = {w: i for i, w in enumerate([*order, *rest])}
+        shown.update(dict.fromkeys(rest))
+        for i, w in enumerate(shown):
+            shown[w] = i
+        place = shown
         marks = self._alone(list(_MARKS))
         ids = np.concatenate([np.empty(0, "<u4"), *[p[0] for p in pieces], *marks])
         length = np.concatenate([np.empty(0, np.int64), *[p[1] for p in pieces], [len(m) for m in marks], [0]])
@@ -214,10 +217,11 @@ class Encoder:
 _MADE: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, batch: int = _BYTES) -> Encoder:
     """One for each worker process and tokenizer."""
     if path not in _MADE:
         _MADE[path] = Encoder(path)
+    _MADE[path].batch = batch
     return _MADE[path]
 
 
