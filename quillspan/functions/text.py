@@ -87,8 +87,27 @@ def field_kind(label: Column) -> Column:
     )
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """x, not negative, with so many digits (4 at most), rounded as C does: by the exact binary value, halves to even. format_string rounds halves of the shortest decimal up.
+
+    Where the shortest decimal looks like a half, the fraction in units of 2^-62 (2^-71 for tiny x) is compared with the half in whole numbers.
+    """
+    ten = 10**digits
+    d = x.try_cast("decimal(38,18)")
+    whole = F.floor(d).cast("decimal(20,0)")
+    t = ((d - whole) * F.lit(ten)).cast("decimal(30,18)")
+    n = F.floor(t).cast("long")
+    tiny = x < 2.0**-9
+    m = F.when(tiny, x * 2.0**71).otherwise((x - F.floor(x)) * 2.0**62).try_cast("long").cast("decimal(20,0)")
+    unit = F.when(tiny, F.lit(str(2**71)).cast("decimal(22,0)")).otherwise(F.lit(str(2**62)).cast("decimal(22,0)"))
+    value, half = m * F.lit(2 * ten).cast("decimal(6,0)"), (2 * n + 1).cast("decimal(6,0)") * unit
+    up = (value > half) | ((value == half) & (n % 2 == 1))
+    exact = F.format_string(f"%d.%0{digits}d", (whole.cast("long") + F.when(up & (n + 1 == ten), 1).otherwise(0)), (n + up.cast("long")) % ten)
+    return F.when((x < 1e15) & (t - n == F.lit(0.5).cast("decimal(2,1)")), exact).otherwise(F.format_string(f"%.{digits}f", x))
+
+
 def delta(d: Column) -> Column:
-    return F.format_string("%+.4f", d)
+    return F.concat(F.when(d < 0, "-").otherwise("+"), fixed(F.abs(d), 4))
 
 
 def regression_tag(lower_is_better: Column, d: Column) -> Column:

@@ -31,3 +31,15 @@ def test_unknown_types_do_not_match(spark):
 def test_order_lines_are_dealt_by_rows(spark, monkeypatch):
     monkeypatch.setattr(V, "TASK_ROWS", 500)
     assert V.lines_of(spark, SMALL).rdd.getNumPartitions() == 12
+
+
+def test_halves_are_rounded_as_in_sql(spark):
+    """42.25 is a half and goes to even; 0.15 lies below its half, 0.05 above."""
+    from pyspark.sql import functions as F
+
+    from quillspan.functions import text as X
+
+    some = [42.25, 45.25, 42.75, 0.05, 0.15, 0.25, 0.95, 9.95, 49.95, 0.0, 3.14159, 0.00005, 0.00015, 0.00025, 1.00005, 0.99995] + [a / b for a in range(1, 400, 7) for b in range(1, 31)]
+    got = spark.createDataFrame([(x,) for x in some], "x double").select("x", X.fixed(F.col("x"), 1).alias("one"), X.fixed(F.col("x"), 4).alias("four"), X.delta(-F.col("x")).alias("less")).collect()
+    assert [(r["one"], r["four"]) for r in got] == [("%.1f" % r["x"], "%.4f" % r["x"]) for r in got]
+    assert [r["less"] for r in got if r["x"]] == ["%+.4f" % -r["x"] for r in got if r["x"]]
