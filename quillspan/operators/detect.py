@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import text as X
 from quillspan.operators.cells import FIELD, OFFICE_USE, SIGNATURE, cut, ruled_fields
 from quillspan.operators.ordered import PAGE, cluster_lines, gap_threshold, islands
-from quillspan.sources.scratch import written
+from quillspan.sources.scratch import joined_by_measured_size, written
 
 # Geometry of the rules in points.
 RUN_TOP, RUN_GAP, RUN_WIDTH, LABEL_REACH = 1.5, 2, 12, 240
@@ -225,10 +225,11 @@ def drop_signatures(fields: DataFrame) -> DataFrame:
 
 
 def detect(chars: DataFrame, words: DataFrame, rects: DataFrame, pages: DataFrame, curves: DataFrame | None = None) -> DataFrame:
-    """All rules, then R8 and R9, then ids and groups of yes and no. What the rules found is written once, since the filters read it more than once."""
-    thresholds = written(gap_threshold(cluster_lines(words).drop("line_no").withColumnRenamed("line", "line_no")), "thresholds")
-    first = [glyph_fields(chars, words, pages), underscore_fields(chars, words, pages, thresholds), ruled_fields(chars, words, rects, pages, thresholds)]
-    found = written(reduce(DataFrame.unionByName, [f.select(*FIELD) for f in first]), "fields")
-    shapes = None if curves is None else rect_like_curves(curves)
-    squares = written(square_fields(rects, words, pages, shapes, found).select(*FIELD), "squares")
-    return group_yes_no(number_fields(drop_inked(drop_signatures(found.unionByName(squares)), chars, pages)))
+    """All rules, then R8 and R9, then ids and groups of yes and no. What the rules found is written once, since the filters read it more than once; so is the result."""
+    with joined_by_measured_size(chars.sparkSession):
+        thresholds = written(gap_threshold(cluster_lines(words).drop("line_no").withColumnRenamed("line", "line_no")), "thresholds")
+        first = [glyph_fields(chars, words, pages), underscore_fields(chars, words, pages, thresholds), ruled_fields(chars, words, rects, pages, thresholds)]
+        found = written(reduce(DataFrame.unionByName, [f.select(*FIELD) for f in first]), "fields")
+        shapes = None if curves is None else rect_like_curves(curves)
+        squares = written(square_fields(rects, words, pages, shapes, found).select(*FIELD), "squares")
+        return written(group_yes_no(number_fields(drop_inked(drop_signatures(found.unionByName(squares)), chars, pages))), "detected")

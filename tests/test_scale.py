@@ -43,3 +43,25 @@ def test_halves_are_rounded_as_in_sql(spark):
     got = spark.createDataFrame([(x,) for x in some], "x double").select("x", X.fixed(F.col("x"), 1).alias("one"), X.fixed(F.col("x"), 4).alias("four"), X.delta(-F.col("x")).alias("less")).collect()
     assert [(r["one"], r["four"]) for r in got] == [("%.1f" % r["x"], "%.4f" % r["x"]) for r in got]
     assert [r["less"] for r in got if r["x"]] == ["%+.4f" % -r["x"] for r in got if r["x"]]
+
+
+def test_detection_gathers_no_scratch_table(spark, monkeypatch):
+    """A scratch table's bytes tell little of its rows, so no plan of the rules broadcasts one by them; the session is left as it was."""
+    from quillspan.operators import cells, detect
+    from quillspan.sources import synthetic
+
+    write, seen = detect.written, []
+
+    def watched(df, name):
+        seen.append(name)
+        parts = plan(df).split("BroadcastExchange")[1:]
+        assert all("LocalTableScan" in p.split("\n", 2)[1] or "ExistingRDD" in "".join(p.split("\n", 4)[1:4]) for p in parts), name
+        return write(df, name)
+
+    monkeypatch.setattr(detect, "written", watched)
+    monkeypatch.setattr(cells, "written", watched)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    made = synthetic.forms(spark, 2)
+    detect.detect(made["chars"], made["words"], made["rects"], made["pages"])
+    assert {"thresholds", "cells", "heads", "fields", "squares", "detected"} <= set(seen)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
