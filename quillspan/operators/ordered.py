@@ -13,10 +13,10 @@ def cluster_lines(rows: DataFrame, tol: float = 2.5) -> DataFrame:
     tops = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_set(F.col("top").cast("double"))).alias("tops"))
     empty = "cast(array() as array<double>)"
     anchors = F.expr(f"aggregate(tops, {empty}, (acc, t) -> CASE WHEN size(acc) > 0 AND t - element_at(acc, -1) <= {tol}D THEN acc ELSE array_append(acc, t) END)")
-    lines = tops.select(*PAGE, F.posexplode(anchors).alias("line", "anchor"), F.col("tops"))
-    members = lines.select(*PAGE, "line", F.explode(F.expr(f"filter(tops, t -> t >= anchor AND t - anchor <= {tol}D)")).alias("top"))
-    first = members.groupBy(*PAGE, "top").agg(F.min("line").cast("long").alias("line"))
-    return rows.withColumn("top", F.col("top").cast("double")).join(first, [*PAGE, "top"])
+    # merged in order where both sides are: by the bytes of its file alone a table of small numbers would be taken for a short one and broadcast
+    placed = rows.withColumn("top", F.col("top").cast("double")).where("top IS NOT NULL").hint("merge").join(tops.select(*PAGE, anchors.alias("_anchors")), PAGE)
+    # anchors ascend and are over tol apart, so a top's line is the last one that begins at or above it
+    return placed.withColumn("line", F.size(F.filter("_anchors", lambda a: a <= F.col("top"))).cast("long") - 1).drop("_anchors")
 
 
 def gap_threshold(words: DataFrame) -> DataFrame:

@@ -65,3 +65,9 @@ def test_detection_gathers_no_scratch_table(spark, monkeypatch):
     detect.detect(made["chars"], made["words"], made["rects"], made["pages"])
     assert {"thresholds", "cells", "heads", "fields", "squares", "detected"} <= set(seen)
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
+def test_lines_are_clustered_where_their_order_is(spark):
+    """Strokes and the lines they fall into meet in each order's task: nothing is broadcast, and no top or line travels to be counted."""
+    p = plan(catalog.QUERIES["line_cluster"](spark, SMALL))
+    assert "Broadcast" not in p and p.count("Exchange hashpartitioning") == 2
