@@ -3,70 +3,89 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.functions.geometry import iou, normalise, touches
+from quillspan.functions.geometry import area, rect
 from quillspan.functions.text import type_family
 
 KEYS = ["doc_id", "page", "family_type"]
 MATCH, NEAR = 0.5, 0.15
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    return df.withColumn("family_type", type_family(F.col("type")))
+def both(det: DataFrame, truth: DataFrame, *columns: str) -> DataFrame:
+    """Detections (found, with di) and truth (with ti) in one table; of what else they have, the columns named."""
+    keep = list(dict.fromkeys(["doc_id", "page", "type", "x0", "y0", "x1", "y1", *columns]))
+    return det.select(F.lit(True).alias("found"), "di", *keep).unionByName(truth.select(F.lit(False).alias("found"), "ti", *keep), allowMissingColumns=True)
 
 
-def pages_of(det: DataFrame, truth: DataFrame, of_det: Sequence[str] = (), of_truth: Sequence[str] = ()) -> DataFrame:
-    """One row for each page and type family: ds and ts (its detections and truth, with the columns named), pairs (neg: the negative IoU, di, ti, and truth's columns as `of`).
+def _sides(det: DataFrame, truth: DataFrame | None, *columns: str) -> DataFrame:
+    """Without truth, det is a table of both sides."""
+    return det if truth is None else both(det, truth, *columns)
 
-    Pairs are those of NEAR at least; boxes that don't meet are pruned before any IoU. Both tables are brought together once, and all that follows runs within a row.
-    """
-    item = lambda key, more: F.struct(key, "x0", "y0", "x1", "y1", *more)
-    d = _keyed(det).select(*KEYS, item("di", of_det).alias("d"))
-    t = _keyed(truth).select(*KEYS, item("ti", of_truth).alias("t"))
-    g = d.unionByName(t, allowMissingColumns=True).groupBy(*KEYS).agg(F.collect_list("d").alias("ds"), F.collect_list("t").alias("ts"))
-    box = lambda r: normalise(r["x0"], r["y0"], r["x1"], r["y1"])
-    pair = lambda d, t: F.struct((-iou(box(d), box(t))).alias("neg"), d["di"].alias("di"), t["ti"].alias("ti"), F.struct(*[t[c].alias(c) for c in ("ti", *of_truth)]).alias("of"))
-    of_one = lambda d: F.filter(F.transform(F.filter("ts", lambda t: touches(box(d), box(t))), lambda t: pair(d, t)), lambda p: -p["neg"] >= NEAR)
-    known = reduce(Column.__and__, [F.col(k).isNotNull() for k in KEYS])
-    return g.withColumn("pairs", F.flatten(F.transform(F.filter("ds", lambda d: known & (F.size("ts") > 0)), of_one)))
 
+def _let(value: str, name: str, body: str) -> str:
+    """body, with a value in it that is made once for a row: the end of a fold over nothing, which copies neither, as a transform does."""
+    return f"aggregate(cast(array() as array<int>), {value}, ({name}, none) -> {name}, {name} -> {body})"
 
-def judged(det: DataFrame, truth: DataFrame, of_det: Sequence[str] = (), of_truth: Sequence[str] = ()) -> DataFrame:
-    """pages_of and taken: in descending IoU, ties by detection then truth order, a pair is taken unless either side is."""
-    fold = "aggregate(c, slice(c, 1, 0), (acc, x) -> CASE WHEN exists(acc, y -> y.di = x.di OR y.ti = x.ti) THEN acc ELSE array_append(acc, x) END)"
-    g = pages_of(det, truth, of_det, of_truth).withColumn("c", F.sort_array(F.filter("pairs", lambda p: -p["neg"] >= MATCH)))
-    return g.withColumn("taken", F.expr(f"CASE WHEN size(c) < 2 THEN c ELSE {fold} END")).drop("c")
 
+def _pages(sides: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
+    """One row for each page and type family: ds and ts (its detections and truth, with their boxes normalised and the columns named)."""
+    box = rect()
+    item = lambda key: F.struct(key, *[c.alias(n) for c, n in zip((*box, area(box)), ("x0", "y0", "x1", "y1", "area"))], *columns)
+    keyed = sides.select("doc_id", "page", type_family(F.col("type")).alias("family_type"), F.when(F.col("found"), item("di")).alias("d"), F.when(~F.col("found"), item("ti")).alias("t"))
+    return keyed.groupBy(*KEYS).agg(F.collect_list("d").alias("ds"), F.collect_list("t").alias("ts"))
 
-#: Whether the truth t of a judged page is near a detection, but not matched.
-MISSED = f"exists(pairs, p -> p.ti = t.ti AND -p.neg < {MATCH}D) AND NOT exists(taken, p -> p.ti = t.ti)"
+
+def _pairs(of: Sequence[str] = ()) -> str:
+    """A page's pairs of NEAR at least (neg: the negative IoU, di, ti, and truth's columns as of_<column>). Boxes that don't meet are pruned before any IoU."""
+    met = "d.x0 < t.x1 AND d.x1 > t.x0 AND d.y0 < t.y1 AND d.y1 > t.y0"
+    shared = "CAST((least(d.x1, t.x1) - greatest(d.x0, t.x0)) * (least(d.y1, t.y1) - greatest(d.y0, t.y0)) AS DOUBLE)"
+    pair = f"named_struct('neg', -try_divide({shared}, d.area + t.area - {shared}), 'di', d.di, 'ti', t.ti{''.join(f", 'of_{c}', t.{c}" for c in of)})"
+    pairs = f"flatten(transform(ds, d -> filter(transform(filter(ts, t -> {met}), t -> {pair}), p -> p.neg <= -{NEAR}D)))"
+    known = " AND ".join(f"{k} IS NOT NULL" for k in KEYS)
+    return f"CASE WHEN {known} THEN {pairs} ELSE slice({pairs}, 1, 0) END"
+
+
+def _rows(pages: DataFrame, told: str, key: str) -> DataFrame:
+    """The rows of an array made of a page, each with a key. The array is made first, then read: what reads a column is compiled with all that follows it, and
+    outer, since the optimizer asks for rows that aren't empty before an inner one, which makes the array twice."""
+    return pages.select(*KEYS, F.expr(told).alias("told")).select(*KEYS, F.inline_outer("told")).where(F.col(key).isNotNull())
 
 
-def _each(pairs: DataFrame, column: str, *keys: str) -> DataFrame:
-    return pairs.select(*keys, F.explode(column).alias("m")).select(*keys, "m.di", "m.ti", (-F.col("m.neg")).alias("iou"))
+def judged(det: DataFrame, truth: DataFrame | None, told: str, key: str, columns: Sequence[str] = (), of: Sequence[str] = ()) -> DataFrame:
+    """doc_id, page, family_type and the columns of `told`, an array made of a page's ds, ts, pairs and taken, whose rows have a key.
+
+    Taken: in descending IoU, ties by detection then truth order, a pair is taken unless either side is. Both sides are brought together once, and all that follows is one
+    expression over a page's row, so that the lists aren't copied from step to step. Truth is left out where det has both sides, as here and in what follows.
+    """
+    apart = " AND ".join(f"size(array_distinct(transform(c, p -> p.{k}))) = size(c)" for k in ("di", "ti"))
+    fold = "aggregate(sort_array(c), slice(c, 1, 0), (acc, x) -> CASE WHEN exists(acc, y -> y.di = x.di OR y.ti = x.ti) THEN acc ELSE array_append(acc, x) END)"
+    taken = _let(f"filter(pairs, p -> p.neg <= -{MATCH}D)", "c", f"CASE WHEN size(c) < 2 OR ({apart}) THEN c ELSE {fold} END")
+    return _rows(_pages(_sides(det, truth, *columns), columns), _let(_pairs(of), "pairs", _let(taken, "taken", told)), key)
+
+
+#: Whether the truth t of a judged page is near a detection, but not matched.
+MISSED = f"exists(pairs, p -> p.ti = t.ti AND p.neg > -{MATCH}D) AND NOT exists(taken, p -> p.ti = t.ti)"
 
 
-def candidate_pairs(det: DataFrame, truth: DataFrame, least: float = MATCH) -> DataFrame:
+def candidate_pairs(det: DataFrame, truth: DataFrame | None = None, least: float = MATCH) -> DataFrame:
     """doc_id, page, family_type, di, ti, iou: the pairs of a page and type family that reach `least`, which is NEAR or more."""
-    return _each(pages_of(det, truth), "pairs", *KEYS).where(F.col("iou") >= least)
+    return _rows(_pages(_sides(det, truth)), _pairs(), "neg").select(*KEYS, "di", "ti", (-F.col("neg")).alias("iou")).where(F.col("iou") >= least)
 
 
-def match_greedy(det: DataFrame, truth: DataFrame) -> DataFrame:
+def match_greedy(det: DataFrame, truth: DataFrame | None = None) -> DataFrame:
     """doc_id, di, ti, iou of the pairs taken. The fold runs over one page's and type's pairs, in the JVM."""
-    return _each(judged(det, truth), "taken", "doc_id")
+    return judged(det, truth, "taken", "neg").select("doc_id", "di", "ti", (-F.col("neg")).alias("iou"))
 
 
-def near_misses(det: DataFrame, truth: DataFrame) -> DataFrame:
+def near_misses(det: DataFrame, truth: DataFrame | None = None) -> DataFrame:
     """Unmatched truth met by any detection of its page and type family at 0.15 <= IoU < 0.5."""
-    return judged(det, truth).select("doc_id", F.explode(F.expr(f"transform(filter(ts, t -> {MISSED}), t -> t.ti)")).alias("ti"))
+    return judged(det, truth, f"transform(filter(ts, t -> {MISSED}), t -> named_struct('ti', t.ti))", "ti").select("doc_id", "ti")
 
 
-def unmatched(det: DataFrame, truth: DataFrame) -> DataFrame:
+def unmatched(det: DataFrame, truth: DataFrame | None = None) -> DataFrame:
     """side ('truth' or 'det'), doc_id, ix: what no pair took."""
     left = "transform(filter({s}, x -> NOT exists(taken, p -> p.{k} = x.{k})), x -> named_struct('side', '{n}', 'ix', x.{k}))".format
-    both = f"concat({left(s='ts', k='ti', n='truth')}, {left(s='ds', k='di', n='det')})"
-    return judged(det, truth).select("doc_id", F.explode(F.expr(both)).alias("e")).select("e.side", "doc_id", "e.ix")
+    return judged(det, truth, f"flatten(array({left(s='ts', k='ti', n='truth')}, {left(s='ds', k='di', n='det')}))", "side").select("side", "doc_id", "ix")

@@ -13,14 +13,16 @@ MEASURES = ["truth", "detected", "matched", "iou_micro", "near_miss", "label_pai
 _BOXES = ["box_pairs", "box_agree"]
 
 
-def measures(det: DataFrame, truth: DataFrame) -> DataFrame:
-    """One row for each detection and each truth, keyed by split, family, document and rule: truth and misses under the truth's rule, detections and matches under their own."""
-    side = "named_struct('split', x.split, 'family', x.family, 'rule', x.rule, 'det', {det}, 'missed', {missed}, 'type', {type}, 'label', {label}, 'm', {m})".format
+def measures(det: DataFrame, truth: DataFrame | None = None) -> DataFrame:
+    """One row for each detection and each truth, keyed by split, family, document and rule: truth and misses under the truth's rule, detections and matches under their own.
+
+    Truth is left out where det has both sides, as matching.both makes them.
+    """
+    item = "named_struct('split', {x}.split, 'family', {x}.family, 'rule', {x}.rule, 'det', {det}, 'missed', {missed}, 'type', {type}, 'label', {label}, 'm', {m})".format
     none = "cast(null as string)"
-    dets = "transform(ds, x -> " + side(det="true", missed="false", type="x.type", label="x.label", m="get(filter(taken, p -> p.di = x.di), 0)") + ")"
-    truths = "transform(ts, t -> transform(array(t), x -> " + side(det="false", missed=MISSED, type=none, label=none, m="get(slice(taken, 1, 0), 0)") + ")[0])"
-    g = judged(det, truth, ["split", "family", "rule", "type", "label"], ["split", "family", "rule", "label"])
-    e = g.select("doc_id", F.explode(F.expr(f"concat({dets}, {truths})")).alias("e")).select("e.split", "e.family", "doc_id", "e.rule", "e.det", "e.missed", "e.type", "e.label", "e.m.neg", F.col("e.m.of.label").alias("told"))
+    dets = "transform(ds, x -> " + item(x="x", det="true", missed="false", type="x.type", label="x.label", m="get(filter(taken, p -> p.di = x.di), 0)") + ")"
+    truths = "transform(ts, t -> " + item(x="t", det="false", missed=MISSED, type=none, label=none, m="get(slice(taken, 1, 0), 0)") + ")"
+    e = judged(det, truth, f"flatten(array({dets}, {truths}))", "det", ["split", "family", "rule", "type", "label"], ["label"]).withColumns({"neg": F.col("m.neg"), "told": F.col("m.of_label")})
     hit, box = F.col("neg").isNotNull(), F.col("type") == "checkbox"
     pair = hit & F.coalesce(F.col("told") != "", F.lit(False))
     own = F.coalesce("label", F.lit(""))

@@ -71,3 +71,39 @@ def test_lines_are_clustered_where_their_order_is(spark):
     """Strokes and the lines they fall into meet in each order's task: nothing is broadcast, and no top or line travels to be counted."""
     p = plan(catalog.QUERIES["line_cluster"](spark, SMALL))
     assert "Broadcast" not in p and p.count("Exchange hashpartitioning") == 2
+
+
+@pytest.mark.parametrize("name, most", [("match_greedy", 1), ("match_unmatched", 1), ("score_per_form", 1), ("score_per_rule", 2), ("score_overall", 2), ("score_rollup", 2), ("gate_families", 3), ("report_deltas", 3)])
+def test_both_sides_come_from_one_pass(spark, name, most):
+    """Order lines are read, dealt out and sorted once for detections and truth alike, and no table of lines is hashed."""
+    p = plan(catalog.QUERIES[name](spark, SMALL))
+    assert p.count("FileScan") == 1 and p.count("Exchange hashpartitioning") <= most
+    assert p.count("Sort [o#") == 1 and "HashAggregate(keys=[o#" not in p
+
+
+def test_sides_are_truth_and_detections(spark, tmp_path):
+    """Repeated order lines count once, and ids run without a gap on both sides."""
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    lines.unionByName(lines.where("l_orderkey % 3 = 0")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    shown = ["page", "type", "x0", "y0", "x1", "y1", "label", "rule", "family", "split"]
+    both = V.sides(spark, str(tmp_path))
+    for found, key, one in ((True, "di", V.det), (False, "ti", V.truth)):
+        want = rows(one(spark, SMALL).select("doc_id", key, *shown))
+        assert rows(both.where(f"found = {found}").select("doc_id", key, *shown)) == want == rows(one(spark, str(tmp_path)).select("doc_id", key, *shown))
+        last = {r[0]: 0 for r in want}
+        for r in sorted(want):
+            assert r[1] == last[r[0]] + 1
+            last[r[0]] += 1
+
+
+def test_overlapping_boxes_are_taken_in_order(spark):
+    """A page where every detection meets every truth, another where none has a rival, and one without a known page: the fold, and the way around it."""
+    from quillspan.operators import matching
+
+    boxes = "doc_id string, page int, {} int, type string, x0 int, y0 int, x1 int, y1 int"
+    det = [("a", 1, i, "text", 20 - i, 10, i, 0) for i in (2, 1)] + [("b", 1, 1, "text", 0, 0, 9, 9), ("b", 1, 2, "checkbox", 0, 0, 9, 9), ("b", 1, 3, "text", 50, 0, 59, 9), ("c", None, 1, "text", 0, 0, 9, 9)]
+    truth = [("a", 1, 1, "choice", 0, 0, 20, 10), ("a", 1, 2, "text", 2, 0, 18, 10), ("b", 1, 1, "text", 0, 0, 9, 9), ("b", 1, 2, "text", 50, 0, 59, 9), ("c", None, 1, "text", 0, 0, 9, 9)]
+    d, t = spark.createDataFrame(det, boxes.format("di")), spark.createDataFrame(truth, boxes.format("ti"))
+    assert {tuple(r)[:3] for r in matching.match_greedy(d, t).collect()} == {("a", 2, 2), ("a", 1, 1), ("b", 1, 1), ("b", 3, 2)}
+    assert {tuple(r) for r in matching.unmatched(d, t).collect()} == {("det", "b", 2), ("det", "c", 1), ("truth", "c", 1)}
