@@ -107,3 +107,19 @@ def test_overlapping_boxes_are_taken_in_order(spark):
     d, t = spark.createDataFrame(det, boxes.format("di")), spark.createDataFrame(truth, boxes.format("ti"))
     assert {tuple(r)[:3] for r in matching.match_greedy(d, t).collect()} == {("a", 2, 2), ("a", 1, 1), ("b", 1, 1), ("b", 3, 2)}
     assert {tuple(r) for r in matching.unmatched(d, t).collect()} == {("det", "b", 2), ("det", "c", 1), ("truth", "c", 1)}
+
+
+def test_widgets_are_planned_where_their_document_is(spark):
+    """Fields are dealt out once by document; names and groups are found within its row."""
+    p = plan(catalog.QUERIES["widget_plan"](spark, SMALL))
+    assert p.count("FileScan") == 1 and p.count("Exchange hashpartitioning") == 1 and "Join" not in p
+
+
+def test_groups_of_check_boxes_have_one_name(spark):
+    """The group's name is given when its first box is met, after that box's own, and skips names that fields have; other documents don't matter."""
+    from quillspan.operators import corpus
+
+    rows = [("a", 2, "g", "checkbox", "g"), ("a", 1, "g", "text", None), ("a", 3, "x", "checkbox", "g"), ("a", 4, "x", "text", "g"), ("a", 5, " ", "checkbox", ""), ("b", 1, "g", "checkbox", "g")]
+    f = spark.createDataFrame([(d, o, 1, i, t, g, 0, 0, 9, 9) for d, o, i, t, g in rows], "doc_id string, ord long, page int, id string, type string, `group` string, x0 int, y0 int, x1 int, y1 int")
+    got = {(r["doc_id"], r["ord"]): (r["name"], r["kind"], r["radio"]) for r in corpus.widget_plan(f).collect()}
+    assert got == {("a", 1): ("g", "text", None), ("a", 2): ("g_2", "radio", "g_3"), ("a", 3): ("x", "radio", "g_3"), ("a", 4): ("x_2", "text", None), ("a", 5): ("field", "check", None), ("b", 1): ("g", "radio", "g_2")}
