@@ -123,3 +123,10 @@ def test_groups_of_check_boxes_have_one_name(spark):
     f = spark.createDataFrame([(d, o, 1, i, t, g, 0, 0, 9, 9) for d, o, i, t, g in rows], "doc_id string, ord long, page int, id string, type string, `group` string, x0 int, y0 int, x1 int, y1 int")
     got = {(r["doc_id"], r["ord"]): (r["name"], r["kind"], r["radio"]) for r in corpus.widget_plan(f).collect()}
     assert got == {("a", 1): ("g", "text", None), ("a", 2): ("g_2", "radio", "g_3"), ("a", 3): ("x", "radio", "g_3"), ("a", 4): ("x_2", "text", None), ("a", 5): ("field", "check", None), ("b", 1): ("g", "radio", "g_2")}
+
+
+def test_gate_reads_no_documents_without_glyphs(spark):
+    """A share over all glyphs needs none of the documents that have none: no pass over all strokes to find them, beside one over strokes, detections and the ink written."""
+    from quillspan.plans import evaluation
+
+    assert plan(evaluation.gate_inputs(spark, SMALL)[2]).count("FileScan") == 3
