@@ -158,7 +158,7 @@ _SIDES = """SELECT CASE split WHEN 'tuning' THEN 'candidate' ELSE 'baseline' END
 
 def gate_inputs(s, d):
     """runs, failures, guards and offenders of two pseudo runs."""
-    m = metrics.measures(V.sides(s, d)).withColumn("run", F.when(F.col("split") == "tuning", "candidate").otherwise("baseline"))
+    m = metrics.measures(V.order_sides(s, d), None, ["split", "family"]).withColumn("run", F.when(F.col("split") == "tuning", "candidate").otherwise("baseline"))
     # one pass: a family is a part of the whole, and one of them stands for the holdout
     sums = written(m.groupBy("run", "family").agg(*[F.sum(k).alias(k) for k in metrics.MEASURES]), "gate-families")
     part = lambda df, scope, *keys: metrics.by(df, "run", *keys).select("run", F.lit(scope).alias("scope"), (F.col(keys[0]) if keys else F.lit("")).alias("key"), "truth", "f1", "precision", "label_accuracy")

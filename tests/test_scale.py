@@ -149,3 +149,56 @@ def test_words_at_the_edge_of_the_cells(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = con.execute(catalog.ORACLE["text_in_cell"]).fetchall()
     assert sorted(map(tuple, catalog.QUERIES["text_in_cell"](spark, str(tmp_path)).collect())) == sorted(want) and len(want) > 20
+
+
+#: Null and negative keys, repeats, pages of one document; a line number that is missing.
+ODD_LINES = [(1, 1, 26, 3), (1, 1, 26, 3), (1, 2, 39, 4), (1, 3, 39, 4), (2, 1, -39, -7), (2, 2, None, 3), (2, 3, 13, None), (None, 1, 5, 5), (None, None, 7, 5), (-3, 1, 11, 2), (-4, 1, -26, 12), (5, None, 52, 9)]
+
+
+def _odd_lines(spark, folder):
+    """Far more than ROWS of the test, so that documents meet the ends of batches."""
+    many = [(o, 1 + i % 7, 7 * i % 101, 11 * i % 53) for i, o in enumerate(x for x in range(10, 90) for _ in range(x % 9 + 1))]
+    spark.createDataFrame(ODD_LINES + many, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_sides_made_in_columns_are_those_of_the_views(spark, tmp_path):
+    """score_per_form, score_rollup, score_overall: both sides are made of the order lines where they are matched; no window, no list, one exchange before it."""
+    d = _odd_lines(spark, tmp_path)
+    made = V.order_sides(spark, d)
+    names = ["found", *[n for n in made.types if n not in ("found", "family_type")]]
+    both = lambda df: sorted(map(repr, (tuple(r[n] if r["found"] or n != "di" else None for n in names if n != "ti" or not r["found"]) for r in df.collect())))
+    from pyspark.sql.types import StructField, StructType
+
+    order = list(made.types)
+    got = made.run(lambda b: iter([b.select(order)]), StructType([StructField(n, t) for n, t in made.types.items()]))
+    assert both(got) == both(V.sides(spark, d))
+    assert {r["family_type"] for r in got.collect()} == {"text", "checkbox"}
+
+
+@pytest.mark.parametrize("rows, pairs", [(100_000, 1 << 21), (3, 2)])
+def test_scores_by_batches_are_those_by_rows(spark, tmp_path, monkeypatch, rows, pairs):
+    """Sums of any keys are the same whether documents come a few at a time or all at once, from views or made in columns; no page is an array in a row."""
+    from quillspan.operators import matching, metrics
+
+    d = _odd_lines(spark, tmp_path)
+    sums = lambda m: {tuple(r) for r in metrics.by(m, "split", "doc_id").select("split", "doc_id", *metrics.MEASURES).collect()}
+    want = sums(metrics.measures(V.det(spark, d), V.truth(spark, d)))
+    # the workers read these from the module that they import
+    made = V.order_sides(spark, d)
+    whole, met = matching._whole_documents, matching._met
+    monkeypatch.setattr(matching, "ROWS", rows)
+    monkeypatch.setattr(matching, "PAIRS", pairs)
+    import pyarrow as pa
+
+    lines = sorted(made.rows.collect(), key=lambda r: tuple((x is not None, x or 0) for x in r))
+    batches = [pa.RecordBatch.from_pylist([r.asDict() for r in lines[i : i + 4]], pa.schema([(c, pa.int64()) for c in "olps"])) for i in range(0, len(lines), 4)]
+    parts = [made.make(b) for b in whole(iter(batches))]
+    assert len(parts) > 1 or rows > len(lines)
+    pairs_met = [sorted(zip(b.column("doc_id").take(pa.array(i)).to_pylist(), b.column("di").take(pa.array(i)).to_pylist(), b.column("ti").take(pa.array(j)).to_pylist(), iou.tolist())) for b in parts for i, j, iou in [met(b)]]
+    assert sorted(p for some in pairs_met for p in some) == sorted(tuple(r) for r in matching.candidate_pairs(made, least=matching.NEAR).select("doc_id", "di", "ti", "iou").collect())
+    assert sums(metrics.measures(made, None, ["split", "doc_id"])) == want == {tuple(r)[:9] for r in metrics.scores(made, None, "split", "doc_id").collect()}
+    assert sum(r["truth"] for r in metrics.rollup(metrics.measures(made, None, *metrics.ROLLUP)).where("scope = 'form'").collect()) == sum(r[2] for r in want)
+    for name in ("score_per_form", "score_rollup", "score_overall"):
+        shown = plan(catalog.QUERIES[name](spark, d))
+        assert "collect_list" not in shown and "Window" not in shown and "Expand" not in shown
