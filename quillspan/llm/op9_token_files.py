@@ -13,6 +13,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,31 @@ _FOOTER = "<QQQQ8s"
 _HEAD = "<IHBBH"
 
 
+@cache
+def _places(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value of a block begins: the byte, and the bit in it."""
+    at = np.arange(BLOCK) * width
+    return at >> 3, (at & 7).astype("<u4")
+
+
+def _unpack_bits(data: bytes, at: int, n: int, width: int) -> np.ndarray:
+    """Up to 25 bits, each value lies within the four bytes from its first one on. A block is followed by more than four bytes of tables."""
+    if width == 0:
+        return np.zeros(n, "<u4")
+    if width > 25:
+        wide = (width + 7) // 8
+        bits, low = np.zeros((n, 8 * wide), np.uint8), np.zeros((n, 4), np.uint8)
+        bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8, (n * width + 7) // 8, at), count=n * width, bitorder="little").reshape(n, width)
+        low[:, :wide] = np.packbits(bits, axis=1, bitorder="little")
+        return low.view("<u4").ravel()
+    size = (n * width + 7) // 8
+    if at + size + 4 > len(data):
+        data, at = bytes(data[at : at + size]) + bytes(4), 0
+    byte, bit = _places(width)
+    words = np.ndarray(size, "<u4", data, at, (1,))
+    return words[byte[:n]] >> bit[:n] & np.uint32((1 << width) - 1)
+
+
 def pack_block(ids: np.ndarray) -> bytes:
     low = int(ids.min())
     v = (ids - np.uint32(low)).astype("<u4")
@@ -48,15 +74,8 @@ def pack_block(ids: np.ndarray) -> bytes:
 def unpack_block(data: bytes, at: int) -> np.ndarray:
     low, n, width, _, outliers = struct.unpack_from(_HEAD, data, at)
     at += struct.calcsize(_HEAD)
-    size = (n * width + 7) // 8
-    wide = (width + 7) // 8
-    bits = np.zeros((n, 8 * wide), np.uint8)
-    low_bytes = np.zeros((n, 4), np.uint8)
-    if width:
-        bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
-        low_bytes[:, :wide] = np.packbits(bits, axis=1, bitorder="little")
-    v = low_bytes.view("<u4").ravel()
-    at += size
+    v = _unpack_bits(data, at, n, width)
+    at += (n * width + 7) // 8
     where = np.frombuffer(data, "<u2", outliers, at)
     v[where] |= np.frombuffer(data, "<u4", outliers, at + 2 * outliers) << np.uint32(width)
     return v + np.uint32(low)
@@ -205,7 +224,7 @@ def read_token_files(files: DataFrame, path: str) -> DataFrame:
                     data = source.read()
                 out = []
                 for doc_id, start, ids in read_file(data):
-                    out.append((doc_id, first + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    out.append((doc_id, first + start, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4"))))
                     if len(out) >= 8192:
                         yield batch(out)
                         out = []

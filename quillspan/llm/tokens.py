@@ -22,6 +22,8 @@ _ODD = r"  | \n|\n\n\n|\n\n |[\t\r\x0b\x0c\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\
 #: Unknown pieces are encoded so many at once; texts are handled so many bytes at once.
 _JOINED, _GROUPS, _BYTES = 200, 10, 4 << 20
 _MARKS = (".", ",")
+#: A normalizer that leaves lower-case ASCII words between single spaces as they are.
+_IDLE = 'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\\s+"), content=" "), Lowercase()])'
 #: What an entry of the cache takes beside its key and its ids; longer keys aren't kept.
 _ENTRY, _LONG = 200, 256
 
@@ -48,10 +50,16 @@ class Encoder:
 
     def __init__(self, path: str, most: int = 40 << 20, batch: int = _BYTES) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.normalizers import Sequence
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most, self.batch = most, batch
         self.words = "Lowercase" in str(self.tokenizer.normalizer)
+        # of words in ASCII, which are in lower case already, the normalizer would only take its time
+        self.plain = self.tokenizer
+        if str(self.tokenizer.normalizer) == _IDLE:
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = Sequence([])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -155,7 +163,7 @@ class Encoder:
             return np.array([len(p) if p.isascii() else len(unicodedata.normalize("NFC", p).lower().encode()) for p in parts], np.int64)
         return np.fromiter(map(len, map(str.encode, parts)), np.int64, len(parts))
 
-    def _joined(self, keys: list[str], shown: Callable[[str], str], between: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    def _joined(self, keys: list[str], shown: Callable[[str], str], between: str, plain: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids, their number in each key) of groups of keys, which may stand side by side as they are shown with `between`, which the tokenizer drops."""
         out = []
         # a few groups at a time, since the library's results take many times the ids
@@ -163,7 +171,9 @@ class Encoder:
             some = list(map(shown, keys[first : first + _GROUPS * _JOINED]))
             size = self._sizes(some)
             groups = [some[i : i + _JOINED] for i in range(0, len(some), _JOINED)]
-            for k, e in enumerate(self.tokenizer.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False)):
+            texts = [between.join(g) for g in groups]
+            tokenizer = self.plain if plain else self.tokenizer
+            for k, e in enumerate(tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
                 ids = np.array(e.ids, dtype="<u4")
                 ends = np.cumsum(self.width[ids])
                 stops = np.cumsum(size[k * _JOINED : (k + 1) * _JOINED])
@@ -182,10 +192,13 @@ class Encoder:
         skip = np.zeros((len(new), 2), np.int64)
         if self.words:
             # white space at an end of a text leaves an empty key, which has no ids
-            shown = dict.fromkeys(stem)
+            # those in ASCII come first, for the tokenizer without a normalizer
+            shown = dict.fromkeys([*filter(str.isascii, stem), *stem])
             rest = [shown.pop("")] if "" in shown else []
             rest = [""] * len(rest)
-            pieces = [*self._joined(list(shown), str, " "), *[(np.empty(0, "<u4"), np.zeros(1, np.int64)) for _ in rest]]
+            words = list(shown)
+            n = sum(map(str.isascii, words))
+            pieces = [*self._joined(words[:n], str, " ", plain=True), *self._joined(words[n:], str, " "), *[(np.empty(0, "<u4"), np.zeros(1, np.int64)) for _ in rest]]
         else:
             odd = [i for i, s in enumerate(stem) if s[:1] == "\0" and not s[1].isspace()]
             for i in odd:

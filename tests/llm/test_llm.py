@@ -578,6 +578,39 @@ def test_op9_blocks(values):
     assert (op9_token_files.unpack_block(b"xx" + op9_token_files.pack_block(ids), 2) == ids).all()
 
 
+def test_op9_blocks_are_read_by_words(monkeypatch):
+    """op9_token_files: up to 25 bits a value are never taken apart into bits, wherever a block ends; the ids are those that were packed."""
+    rng = np.random.default_rng(3)
+    blocks = [(rng.integers(0, 1 << width, n) if width else np.zeros(n)).astype(np.uint32) for width in (0, 1, 7, 8, 13, 16, 17, 25) for n in (1, 7, 1000, 1024)]
+    data = [op9_token_files.pack_block(ids) for ids in blocks]
+    monkeypatch.setattr(np, "unpackbits", None)
+    assert all((op9_token_files.unpack_block(d + tail, 0) == ids).all() for d, ids in zip(data, blocks) for tail in (b"", b"123456789"))
+
+
+def test_op9_ascii_words_pass_no_normalizer():
+    """op9_token_files: lower-case ASCII words go to a tokenizer without a normalizer, others don't, and the ids are the tokenizer's own over the whole text."""
+    from quillspan.llm.tokens import Encoder, tokenizer_path
+
+    e = Encoder(tokenizer_path("word_bpe_49k.json"))
+    seen = {}
+
+    class Watched:
+        def __init__(self, name, tokenizer):
+            self.name, self.tokenizer = name, tokenizer
+
+        def encode_batch_fast(self, texts, **kw):
+            seen.setdefault(self.name, []).extend(texts)
+            return self.tokenizer.encode_batch_fast(texts, **kw)
+
+    whole = e.tokenizer
+    assert e.plain is not e.tokenizer and e.plain.normalizer is not whole.normalizer
+    e.tokenizer, e.plain = Watched("whole", whole), Watched("plain", e.plain)
+    texts = ["Plain WORDS, and don't stop. x" + str(i) + " zq" * (i % 3) for i in range(600)] + ["Stra\u00dfe \u00c9t\u00e9 e\u0301t\u00e9 \u0130x", "a\u00a0b", "", None, "\x1cA B"]
+    got = list(e.encode(texts))
+    assert [g.tolist() for g in got] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert seen["plain"] and all(t.isascii() and t == t.lower() for t in seen["plain"])
+
+
 def test_op9_random_access():
     import io
 
